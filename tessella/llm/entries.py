@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.bpe import bpe_digests
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.line_dedup import dedup_lines
+from tessella.llm.packing import pack
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +22,29 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the environment keeps the public vocabulary files: ``TESSELLA_TOKENIZERS`` or the installed package."""
+    if folder := os.environ.get("TESSELLA_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op7_line_dedup]
+    found = [op1_exact_dedup, op3_bpe, op7_line_dedup, op8_packing]
     return {f.__name__: f for f in found}
 
 
