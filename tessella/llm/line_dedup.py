@@ -82,7 +82,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropping = spark.read.parquet(_drops(pairs, frequent))
     flagged = in_filter(base, [F.col("id")], key_filter(dropping, [F.col("id")], filter_bits), "_maybe", filter_bits)
     clear = flagged.where(~F.col("_maybe")).select("id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("text").alias("kept_text"))
-    joined = flagged.where("_maybe").join(dropping.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left")
+    # One way at every size: both joins merge sorted sides, whose large partitions Spark may split.
+    joined = flagged.where("_maybe").join(dropping.withColumnRenamed("id", "_id").hint("merge"), F.col("id").eqNullSafe(F.col("_id")), "left")
     lines = F.split("text", "\n", -1)
     stays = F.when(F.col("hashes").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("hashes"), line_hash(x, min_chars)), F.lit(False))))
     cut = joined.select("id", F.size(lines).cast("long").alias("n_lines"), stays.alias("stays"))
@@ -93,6 +94,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _drops(pairs: DataFrame, frequent: DataFrame) -> str:
     """Merge the pairs against the frequent hashes: per id, the hashes that it loses. Returns the table's path."""
     path = scratch(pairs.sparkSession, "line-drops")
-    lost = pairs.join(frequent, "hash").where(~F.col("id").eqNullSafe(F.col("last_id")))
+    lost = pairs.join(frequent.hint("merge"), "hash").where(~F.col("id").eqNullSafe(F.col("last_id")))
     lost.groupBy("id").agg(F.collect_set("hash").alias("hashes")).write.parquet(path)
     return path
