@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from tessella.llm.bpe import bpe_digests
 from tessella.llm.exact_dedup import exact_dedup
+from tessella.llm.language_id import identify_languages, learns, train_language_model
+from tessella.llm.license_scan import license_oracle, scan_licenses
 from tessella.llm.line_dedup import dedup_lines
 from tessella.llm.packing import pack
+from tessella.llm.quality_rules import score_quality, train_quality_rules
+from tessella.llm.tiff import media_digests
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +26,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the environment keeps the public vocabulary files: ``TESSELLA_TOKENIZERS`` or the installed package."""
     if folder := os.environ.get("TESSELLA_TOKENIZERS"):
@@ -39,12 +47,29 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(_documents(spark, sf_dir))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = train_quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", (~learns()).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = identify_languages(docs, train_language_model(docs, condition=learns()))
+    return found.select("doc_id", (~learns()).alias("held_out"), "lang_pred", "score", "langs")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op3_bpe, op7_line_dedup, op8_packing]
+    found = [op1_exact_dedup, op2_license_scan, op3_bpe, op4_media_tiff, op6_quality_rules, op7_line_dedup, op8_packing, op10_language_id]
     return {f.__name__: f for f in found}
 
 
@@ -55,6 +80,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY t)""",
+        "op2_license_scan": license_oracle(),
         "op7_line_dedup": r"""
             WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
