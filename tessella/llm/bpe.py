@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tessella.shipping import ship
 
@@ -206,8 +207,7 @@ def _with_column(df: DataFrame, out_col: str, sql_type: str, in_col: str, arrow_
             made = pa.array([f(x) for x in b.column(in_col).to_pylist()], arrow_type)
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, out_col])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out_col}` {sql_type}"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T._parse_datatype_string(sql_type))]))
 
 
 def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

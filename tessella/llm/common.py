@@ -85,3 +85,18 @@ def in_filter(df: DataFrame, cols: list[Column], bitmap: DataFrame, name: str, b
 def crc_of_id(id_col: str = "doc_id") -> Column:
     """CRC-32 of an id's decimal text; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str, digest: Column, digest_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (id, digest) ``decided`` marks as kept; of repeats of one id and text, one row.
+
+    Only rows that a bounded filter of the dropped ids finds are shuffled; all columns of ``docs``, whatever their names,
+    come back as they were. ``digest`` is made from the columns ``id_col`` and those it names in ``docs``.
+    """
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), digest.alias("_digest"))
+    dropped = decided.where(~F.col("kept")).select(F.col(id_col).alias("_id"))
+    kept = decided.where("kept").select(F.col(id_col).alias("_kept_id"), F.col(digest_col).alias("_kept_digest")).distinct()
+    flagged = in_filter(packed, [F.col("_id")], key_filter(dropped, [F.col("_id")]), "_maybe")
+    sure = flagged.where(~F.col("_maybe")).select("_row.*")
+    found = flagged.where("_maybe").join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
+    return sure.unionByName(found.dropDuplicates(["_id", "_digest"]).select("_row.*"))

@@ -13,6 +13,8 @@ from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.language_id import identify_languages, learns, train_language_model
 from tessella.llm.license_scan import license_oracle, scan_licenses
 from tessella.llm.line_dedup import dedup_lines
+from tessella.llm.maxent_lm import holds_out, score_language
+from tessella.llm.near_dedup import near_duplicates
 from tessella.llm.packing import pack
 from tessella.llm.quality_rules import score_quality, train_quality_rules
 from tessella.llm.tiff import media_digests
@@ -51,6 +53,10 @@ def op4_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(_documents(spark, sf_dir))
 
 
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(_documents(spark, sf_dir), holds_out())
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     model = train_quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -58,6 +64,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learns()).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify_languages(docs, train_language_model(docs, condition=learns()))
@@ -69,7 +79,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_license_scan, op3_bpe, op4_media_tiff, op6_quality_rules, op7_line_dedup, op8_packing, op10_language_id]
+    found = [op1_exact_dedup, op2_license_scan, op3_bpe, op4_media_tiff, op5_maxent_lm, op6_quality_rules, op7_line_dedup, op8_packing, op9_near_dedup, op10_language_id]
     return {f.__name__: f for f in found}
 
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import crc_of_id
 from tessella.shipping import ship
@@ -154,7 +155,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     ship(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.logp))
     kept = [id_col] if keep is None else keep
-    inputs = docs.select(*kept, F.col(text_col).alias("_text"))
+    inputs = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = LanguageModel(*shared.value)
@@ -182,10 +183,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
                             settle()
                             held = 0
                 settle()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred), pa.array(score, pa.float64()), pa.array(sets)], [*b.schema.names[:-1], "lang_pred", "score", "langs"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], [*b.schema.names[:-1], "lang_pred", "score", "langs"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return inputs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "lang_pred string, score double, langs string"]))
+    found = inputs.mapInArrow(run, T.StructType([*inputs.schema.fields[:-1], *T._parse_datatype_string("lang_pred string, score double, langs string").fields]))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "score", "langs")
 
 
 def learns(id_col: str = "doc_id") -> Column:

@@ -189,7 +189,7 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, class_id (least id of its class), n_links, class_size, kept (first of its class).
+    """One row per input row: id, class_id (least id of its class), n_links, class_size, kept (first of its class), words_md5.
 
     Texts whose normalised words are equal are one text. Two texts are linked when a band of their sketches agrees and
     both the Jaccard coefficient of their 5-word shingle sets and their word edit similarity are 0.8 or more; classes
@@ -244,6 +244,6 @@ def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str) -
     roots = connected_components(links)
     ends = links.select("u").unionAll(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.select("digest", "node").join(roots, "node", "left").join(ends.withColumnRenamed("u", "node"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = saved(rows.select("id", "row", "digest").join(known, "digest").select("id", "row", "root", "n_links"), "near-placed")
+    placed = saved(rows.select("id", "row", "digest").join(known, "digest").select("id", "row", "root", "n_links", "digest"), "near-placed")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(first, "root").select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "n_links", "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
+    return placed.join(first, "root").select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "n_links", "class_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("digest")).alias("words_md5"))
