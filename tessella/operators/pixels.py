@@ -39,7 +39,8 @@ def resampling(size: int, start: float, length: float, out: int, kind: str = "bi
 def crop_resize(img: np.ndarray, top: float, left: float, h: float, w: float, out_h: int, out_w: int, kind: str = "bicubic") -> np.ndarray:
     rows = resampling(img.shape[0], top, h, out_h, kind)
     cols = resampling(img.shape[1], left, w, out_w, kind)
-    return np.clip(np.einsum("ab,bcd,ec->aed", rows, img.astype(float), cols, optimize=True), 0, 255)
+    tall = (rows @ img.reshape(img.shape[0], -1).astype(float)).reshape(out_h, img.shape[1], img.shape[2])
+    return np.clip(cols @ tall, 0, 255)
 
 
 def gray(img: np.ndarray) -> np.ndarray:
@@ -122,7 +123,7 @@ def map_views(df: DataFrame, keep: list[str], image_col: str, one: Callable) ->
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [_fields(one(decode_png(r[image_col]), r)) for _, r in f.iterrows()]
+            found = [_fields(one(decode_png(x), r)) for x, r in zip(f[image_col], f.drop(columns=image_col).itertuples(index=False))]
             out = f[keep].reset_index(drop=True)
             for k, name in enumerate(("c", "h", "w", "data")):
                 out[name] = [x[k] for x in found]
@@ -135,7 +136,7 @@ def augment_views(fanned: DataFrame, keep: list[str], mean, std, image_col: str
     """Views of a fanned-out table with parameters; what can't be decoded becomes zeros."""
 
     def one(img, p):
-        return augmented(img, p, mean, std, dtype) if img is not None else np.zeros((3, p["size"], p["size"]), np.float32)
+        return augmented(img, p, mean, std, dtype) if img is not None else np.zeros((3, p.size, p.size), np.float32)
 
     return map_views(fanned, keep, image_col, one)
 

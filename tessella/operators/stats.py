@@ -57,6 +57,6 @@ def utilisation(used: Column, budget: Column, warn: float = 0.9) -> tuple[Column
     return share, share >= warn
 
 
-def trace_events(df: DataFrame, name: Column, category: Column, start_us: Column, duration_us: Column, pid: Column, tid: Column) -> DataFrame:
+def trace_events(df: DataFrame, name: Column, category: Column, start_us: Column, duration_us: Column, pid: Column, tid: Column, *keep: str) -> DataFrame:
     """Complete events of the Chrome trace format, as JSON lines."""
-    return df.select(F.to_json(F.struct(name.alias("name"), category.alias("cat"), F.lit("X").alias("ph"), start_us.alias("ts"), duration_us.alias("dur"), pid.alias("pid"), tid.alias("tid"))).alias("event"))
+    return df.select(*keep, F.to_json(F.struct(name.alias("name"), category.alias("cat"), F.lit("X").alias("ph"), start_us.alias("ts"), duration_us.alias("dur"), pid.alias("pid"), tid.alias("tid"))).alias("event"))

@@ -14,11 +14,20 @@ def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of Parquet files: of a folder's, or of one file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+
+
 def run_available(spark: SparkSession, path: str, folder: str, width: str = "1 day") -> DataFrame:
     """Stream all files that are there now through :func:`windowed`; the last complete result is left in ``folder``."""
     schema = spark.read.parquet(path).schema
     out = f"{folder.rstrip('/')}/windows-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).parquet(path)
+    stream = file_stream(spark, path, schema)
     query = windowed(stream, width).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}-state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/result")).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/result")
