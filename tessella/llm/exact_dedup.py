@@ -27,17 +27,23 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path, self.compacted = spark, path or scratch(spark, "digests"), None
-        self.flushes = 0
+        self.flushes, self.id_type = 0, "long"
 
     def flush(self, rows: DataFrame, memtables: int = 1) -> None:
         """Write rows (id, digest, row) as ``memtables`` runs, each sorted by digest."""
+        self.id_type = rows.schema["id"].dataType.simpleString()
         (rows.withColumn("memtable", F.pmod(F.xxhash64("row"), F.lit(memtables)).cast("int")).sortWithinPartitions("memtable", "digest")
          .write.partitionBy("memtable").parquet(f"{self.path}/level=0/flush={self.flushes}"))
         self.flushes += 1
 
     def rows(self) -> DataFrame:
         """All flushed rows."""
-        return self.spark.read.parquet(*[f"{self.path}/level=0/flush={i}" for i in range(self.flushes)]).select("id", "digest", "row")
+        reader = self.spark.read.schema(f"id {self.id_type}, digest binary, row long")
+        return reader.parquet(*[f"{self.path}/level=0/flush={i}" for i in range(self.flushes)])
+
+    def run(self) -> DataFrame:
+        """The compacted run."""
+        return self.spark.read.schema(f"digest binary, keep_id {self.id_type}, keep_row long, n long").parquet(self.compacted)
 
     def compact(self) -> DataFrame:
         """Merge all runs of level 0 (and drop the former compacted run): digest, keeper (id, row), n."""
@@ -47,15 +53,15 @@ class DigestIndex:
         if self.compacted and self.compacted != path:
             drop_path(self.spark, self.compacted)
         self.compacted = path
-        return self.spark.read.parquet(path)
+        return self.run()
 
     def lookup(self) -> DataFrame:
         """Every flushed row with its digest's keeper and count."""
-        return self.rows().join(self.spark.read.parquet(self.compacted), "digest")
+        return self.rows().join(self.run(), "digest")
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of a new batch (with a digest column) whose digest no compacted run holds, most skipped by the filter."""
-        run = self.spark.read.parquet(self.compacted)
+        run = self.run()
         flagged = in_filter(batch, [F.col("digest")], key_filter(run, [F.col("digest")]), "_maybe")
         clear = flagged.where(~F.col("_maybe")).drop("_maybe")
         return clear.unionByName(flagged.where("_maybe").drop("_maybe").join(run.select("digest"), "digest", "left_anti"))

@@ -23,6 +23,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
         self.spark, self.path, self.fanout = spark, path or scratch(spark, "line-runs"), fanout
+        self.id_type = "long"
         self.levels: list[list[str]] = [[]]
         self.written = 0
 
@@ -36,6 +37,7 @@ class LineRuns:
 
     def add(self, pairs: DataFrame) -> None:
         """Add a batch of distinct (hash, id) pairs as a run of level 0; compact the levels that are full."""
+        self.id_type = pairs.schema["id"].dataType.simpleString()
         self._write(pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last_id")), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
@@ -46,18 +48,21 @@ class LineRuns:
         full, self.levels[level] = self.levels[level], []
         self._write(self._merged(full), level + 1)
 
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(f"hash binary, n_docs long, last_id {self.id_type}").parquet(*paths)
+
     def _merged(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*paths).groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+        return self._read(paths).groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
 
     def merged(self) -> DataFrame:
         """All runs as one: hash, n_docs, last_id."""
         paths = [p for level in self.levels for p in level]
-        return self.spark.read.parquet(paths[0]) if len(paths) == 1 else self._merged(paths)
+        return self._read(paths) if len(paths) == 1 else self._merged(paths)
 
     def unseen(self, pairs: DataFrame) -> DataFrame:
         """Pairs of a new batch whose hash no run holds yet (call before :meth:`add`)."""
         paths = [p for level in self.levels for p in level]
-        return pairs.join(self.spark.read.parquet(*paths).select("hash"), "hash", "left_anti") if paths else pairs
+        return pairs.join(self._read(paths).select("hash"), "hash", "left_anti") if paths else pairs
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 2, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -79,7 +84,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for i in range(batches):
         runs.add(pairs.where(F.col("batch") == i))
     frequent = runs.merged().where(F.col("n_docs") >= min_docs).select("hash", "last_id")
-    dropping = spark.read.parquet(_drops(pairs, frequent))
+    dropping = spark.read.schema(f"id {runs.id_type}, hashes array<binary>").parquet(_drops(pairs, frequent))
     flagged = in_filter(base, [F.col("id")], key_filter(dropping, [F.col("id")], filter_bits), "_maybe", filter_bits)
     clear = flagged.where(~F.col("_maybe")).select("id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("text").alias("kept_text"))
     # One way at every size: both joins merge sorted sides, whose large partitions Spark may split.
