@@ -38,8 +38,8 @@ class DigestIndex:
 
     def rows(self) -> DataFrame:
         """All flushed rows."""
-        reader = self.spark.read.schema(f"id {self.id_type}, digest binary, row long")
-        return reader.parquet(*[f"{self.path}/level=0/flush={i}" for i in range(self.flushes)])
+        reader = self.spark.read.schema(f"id {self.id_type}, digest binary, row long").option("basePath", f"{self.path}/level=0")
+        return reader.parquet(*[f"{self.path}/level=0/flush={i}" for i in range(self.flushes)]).select("id", "digest", "row")
 
     def run(self) -> DataFrame:
         """The compacted run."""

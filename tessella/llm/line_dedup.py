@@ -22,7 +22,7 @@ class LineRuns:
     """Levelled runs (hash, n_docs, last_id). ``fanout`` runs of a level are compacted into one run of the next."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
-        self.spark, self.path, self.fanout = spark, path or scratch(spark, "line-runs"), fanout
+        self.spark, self.path, self.fanout = spark, path or scratch(spark, "line-runs"), max(2, fanout)
         self.id_type = "long"
         self.levels: list[list[str]] = [[]]
         self.written = 0

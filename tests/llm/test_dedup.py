@@ -128,10 +128,11 @@ def test_word_hashes_do_not_depend_on_windows(monkeypatch):
     assert (near_dedup.hash_words(data) == whole).all()
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=30))
-def test_components_equal_union_find(spark, edges):
-    parent = list(range(31))
+@pytest.mark.parametrize("seed, n", [(0, 0), (1, 12), (2, 30), (3, 60)])
+def test_components_equal_union_find(spark, seed, n):
+    rng = np.random.default_rng(seed)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 41, (n, 2))] + [(100 + k, 101 + k) for k in range(n)]
+    parent = list(range(200))
 
     def find(x):
         while parent[x] != x:
