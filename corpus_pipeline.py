@@ -28,7 +28,7 @@ LEAST_QUALITY = 0.3
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a determined main language stay."""
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang")
-    found = identify_languages(packed, train_language_model(packed, condition=learns()), keep=["row"])
+    found = identify_languages(packed, train_language_model(packed, condition=learns()), text_col="row.text", keep=["row"])
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 

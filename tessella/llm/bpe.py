@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessella.llm.common import tidy
 from tessella.shipping import ship
 
 #: Characters that Python's split() takes as white space and the file's patterns don't.
@@ -207,7 +208,7 @@ def _with_column(df: DataFrame, out_col: str, sql_type: str, in_col: str, arrow_
             made = pa.array([f(x) for x in b.column(in_col).to_pylist()], arrow_type)
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, out_col])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T._parse_datatype_string(sql_type))]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(out_col, T._parse_datatype_string(sql_type))]))
 
 
 def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,4 +231,4 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(words_sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +103,17 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str, digest: Column,
     sure = flagged.where(~F.col("_maybe")).select("_row.*")
     found = flagged.where("_maybe").join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
     return sure.unionByName(found.dropDuplicates(["_id", "_digest"]).select("_row.*"))
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; afterwards its worker, which later tasks reuse, gives freed memory back."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return whole

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import crc_of_id
+from tessella.llm.common import crc_of_id, tidy
 from tessella.shipping import ship
 
 UNDETERMINED = "und"
@@ -140,7 +140,7 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "bucket", "n"])
 
     counts: dict[str, dict[int, int]] = {lang: {} for lang in sizes}
-    for r in drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in drawn.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["lang"]][r["bucket"]] = r["n"]
     return LanguageModel.from_counts(counts)
 
@@ -148,14 +148,17 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row: id (and the columns ``keep``), lang_pred, score (its share of the document), langs (all selected, strongest first).
 
-    A null text, one without letters, and any text when nothing was learned, is ``und`` with score 0. Ties go to the
+    ``text_col`` may name a field of a kept struct (``row.text``). A null text, one without letters, and any text when nothing was learned, is ``und`` with score 0. Ties go to the
     first language by name. Repeated rows and null ids pass through; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.logp))
     kept = [id_col] if keep is None else keep
-    inputs = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.col(text_col).alias("text"))
+    outer, _, inner = text_col.partition(".")
+    nested = kept.index(outer) if inner and outer in kept else None  # the text is in a kept struct: it travels once
+    text = [] if nested is not None else [F.col(text_col).alias("text")]
+    inputs = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], *text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = LanguageModel(*shared.value)
@@ -174,7 +177,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
                     found.clear()
 
             if m.langs:
-                for r, t in enumerate(b.column(b.num_columns - 1)):
+                for r, t in enumerate(b.column(len(kept)) if nested is None else b.column(nested).field(inner)):
                     if t.is_valid and len(s := m.segments(t.as_py())):
                         rows.append(r)
                         found.append(s)
@@ -183,9 +186,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
                             settle()
                             held = 0
                 settle()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], [*b.schema.names[:-1], "lang_pred", "score", "langs"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], [*b.schema.names[: len(kept)], "lang_pred", "score", "langs"])
 
-    found = inputs.mapInArrow(run, T.StructType([*inputs.schema.fields[:-1], *T._parse_datatype_string("lang_pred string, score double, langs string").fields]))
+    found = inputs.mapInArrow(tidy(run), T.StructType([*inputs.schema.fields[: len(kept)], *T._parse_datatype_string("lang_pred string, score double, langs string").fields]))
     return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "score", "langs")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import in_filter, key_filter, saved, text_or_empty
+from tessella.llm.common import in_filter, key_filter, saved, text_or_empty, tidy
 from tessella.llm.components import connected_components
 from tessella.shipping import ship
 
@@ -158,7 +158,7 @@ def _sketched(base: DataFrame) -> DataFrame:
 
     kind = base.schema["id"].dataType.simpleString()
     texts = base.select("id", norm_words("text").alias("norm")).select("id", F.unhex(F.md5("norm")).alias("digest"), "norm")
-    return texts.mapInArrow(run, f"id {kind}, digest binary, size long, keys array<long>")
+    return texts.mapInArrow(tidy(run), f"id {kind}, digest binary, size long, keys array<long>")
 
 
 def _words(texts: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _words(texts: DataFrame) -> DataFrame:
             words = [(hash_words(np.frombuffer(t.as_buffer(), np.uint8)) >> np.uint64(32)).astype(np.uint32).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], ["node", "words"])
 
-    return texts.mapInArrow(run, "node long, words binary")
+    return texts.mapInArrow(tidy(run), "node long, words binary")
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     right = salts.join(words.withColumnRenamed("node", "v"), "v").select("v", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.col("words").alias("b"))
     salted = pairs.join(salts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("n")).cast("int").alias("salt"))
     left = salted.join(words.select(F.col("node").alias("u"), F.col("words").alias("a")), "u")
-    return left.join(right, ["v", "salt"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return left.join(right, ["v", "salt"]).select("u", "v", "a", "b").mapInArrow(tidy(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tessella.llm.bpe import Recent, byte_chars
+from tessella.llm.common import tidy
 from tessella.shipping import ship
 
 #: The pattern by which byte-level vocabularies of this family split text; a fixed value of the file format.
@@ -43,8 +44,8 @@ class ByteTokens:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.coder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = Recent(self._packed)
-        self.chunks = Recent(self._chunk, 250_000)
+        self.pieces = Recent(self._packed, 100_000)
+        self.chunks = Recent(self._chunk, 150_000)
 
     def _packed(self, text: str) -> bytes:
         return array("I", self.coder.encode_ordinary(text)).tobytes()
@@ -219,4 +220,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         if packer.out:
             yield drained()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessella.llm.common import tidy
 from tessella.shipping import ship
 
 # Fixed values of the file format.
@@ -314,7 +315,7 @@ def tiff_pages(df: DataFrame, media_col: str = "media", id_col: str = "doc_id",
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return df.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, {PAGE_SCHEMA}")
+    return df.select(id_col, media_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, {PAGE_SCHEMA}")
 
 
 PAGE_WIDTH, PAGE_ROWS, TILE = 64, 512, 64
@@ -373,4 +374,4 @@ def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t or b.schema.field(0).type) for c, t in zip(zip(*rows), types)], names)
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long")
