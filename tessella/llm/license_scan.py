@@ -37,6 +37,11 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def size_bounds(n: int, threshold: float) -> tuple[float, float]:
+    """How many distinct bigrams a text may have to reach the threshold with a template of n; rounding loses no case."""
+    return n * threshold / (2 - threshold) - 1e-9, n * (2 - threshold) / threshold + 1e-9
+
+
 def _words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
@@ -55,18 +60,18 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     empty table gives an empty result.
     """
     known = [(name, template_bigrams(text)) for name, text in templates]
-    low = min(len(b) for _, b in known) * threshold / (2 - threshold)
-    high = max(len(b) for _, b in known) * (2 - threshold) / threshold
+    low, _ = size_bounds(min(len(b) for _, b in known), threshold)
+    _, high = size_bounds(max(len(b) for _, b in known), threshold)
     base = docs.select(id_col, text_or_empty(text_col).alias("_t"))
     # A line of n words has at most n - 1 distinct bigrams; repeated words make fewer, so only the lower bound prunes words.
     lines = base.withColumn("_lines", F.filter(F.transform(F.split("_t", "\n", -1), _words), lambda w: F.size(w) - 1 >= low))
-    whole = F.when((F.size("_lines") > 0) & F.col("_t").contains("\n"), F.array(_words(F.col("_t")))).otherwise(F.slice("_lines", 1, 0))
+    whole = F.when(F.col("_t").contains("\n"), F.array(_words(F.col("_t")))).otherwise(F.slice("_lines", 1, 0))
     units = lines.withColumn("_units", F.filter(F.transform(F.concat("_lines", whole), _bigrams), lambda b: F.size(b).between(low, high)))
 
     def best(unit: Column) -> Column:
         def dice(name: str, bigrams: list[str]) -> Column:
             size = F.size(unit)
-            fits = size.between(len(bigrams) * threshold / (2 - threshold), len(bigrams) * (2 - threshold) / threshold)
+            fits = size.between(*size_bounds(len(bigrams), threshold))
             value = 2.0 * F.size(F.array_intersect(unit, F.array(*map(F.lit, bigrams)))) / (size + len(bigrams))
             return F.when(fits, F.struct(value.alias("dice"), F.lit(name).alias("license")))
 
@@ -90,7 +95,7 @@ def license_oracle(threshold: float = 0.8, templates: list[tuple[str, str]] = TE
         w AS (SELECT row_number() OVER () AS unit, doc_id, list_filter(string_split_regex(lower(u), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM lines),
         g AS (SELECT unit, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) >= 2),
         d AS (SELECT unit, doc_id, license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g JOIN tpl
-              ON len(g) BETWEEN len(grams) * {threshold} / (2 - {threshold}) AND len(grams) * (2 - {threshold}) / {threshold}),
+              ON len(g) BETWEEN len(grams) * {threshold} / (2 - {threshold}) - 1e-9 AND len(grams) * (2 - {threshold}) / {threshold} + 1e-9),
         b AS (SELECT unit, doc_id, max(dice) AS dice, min_by(license, (-dice, license)) AS license FROM d WHERE dice >= {threshold} GROUP BY ALL),
         r AS (SELECT doc_id, min_by(license, (-dice, license)) AS license, max(dice) AS dice, count(*) AS n_matches,
                      array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses FROM b GROUP BY doc_id)
