@@ -22,6 +22,8 @@ from tessella.shipping import ship
 SHINGLE, SIMILARITY = 5, 0.8
 #: Least k-mers per sketch, sketches per band, bands.
 LEAST, ROWS, BANDS = 2, 3, 20
+#: About so many texts of a group are put in order by one task.
+STRETCH = 1024
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
@@ -215,18 +217,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(led)
     # Groups that still hold several classes: neighbours in an order of the group's own, if of different classes.
     rooted = grouped.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
     beside = _neighbours(rooted.join(mixed, "key"))
     more = _verified(beside, words)
     links = saved(led.unionByName(more).distinct(), "near-links")
     return _classes(rows, nodes, links, id_col)
 
 
-def _neighbours(rooted: DataFrame) -> DataFrame:
-    """Pairs of different classes that are next to each other, or next but one, in a random order of their group."""
-    w = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
+def _neighbours(rooted: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Pairs of different classes that are next to each other, or next but one, in a random order of their group.
+
+    The order of a group of ``n`` texts is cut into stretches of about ``stretch`` texts, so that no task orders a whole
+    group. The first sixteenth of a stretch also ends the stretch before it, which keeps the neighbours at the cuts.
+    """
+    parts = F.ceil(F.col("n") / stretch)
+    place = F.shiftrightunsigned(F.xxhash64("key", "node"), 33) * parts / F.lit(float(1 << 31))
+    part = F.floor("place")
+    cut = rooted.select("key", "node", "size", "root", place.alias("place")).select("*", F.explode(F.when((F.col("place") - part < 1 / 16) & (part > 0), F.array(part - 1, part)).otherwise(F.array(part))).alias("part"))
+    w = Window.partitionBy("key", "part").orderBy("place", "node")
     me = F.struct("node", "size", "root")
-    ordered = rooted.select("key", "node", "size", "root", F.array(F.lag(me, 1).over(w), F.lag(me, 2).over(w)).alias("other"))
+    # Dealt out by stretch, as the join before leaves a group in one partition.
+    ordered = cut.repartition("key", "part").select("node", "size", "root", F.array(F.lag(me, 1).over(w), F.lag(me, 2).over(w)).alias("other"))
     pairs = ordered.select("node", "size", "root", F.explode(F.filter("other", lambda o: o.isNotNull())).alias("o"))
     alike = F.least("size", "o.size") >= SIMILARITY * F.greatest("size", "o.size") - 1e-9
     return pairs.where((F.col("root") != F.col("o.root")) & alike).select(F.greatest("node", "o.node").alias("u"), F.least("node", "o.node").alias("v")).distinct()

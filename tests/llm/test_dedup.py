@@ -209,3 +209,9 @@ def test_keep_rows_gives_rows_back_whole(odd_documents):
     left = keep_rows(odd_documents, decided, "doc_id", F.sha2(exact_dedup.normalised("text"), 256), "text_sha256")
     assert left.columns == odd_documents.columns and left.count() == decided.where("kept").count()
     assert left.where("_row <> 'clash' OR digest <> 'clash'").count() == 0
+
+
+def test_neighbours_are_the_same_however_a_group_is_cut(spark):
+    rooted = spark.range(3000).selectExpr("1L AS key", "id AS node", "10L AS size", "id AS root", "3000L AS n")
+    whole, cut = (sorted(map(tuple, near_dedup._neighbours(rooted, stretch).collect())) for stretch in (10**6, 512))
+    assert len(whole) == 2999 + 2998 and cut == whole
