@@ -183,7 +183,7 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     # v may be a leader of very many u: its words are repeated once per 64 partners.
-    salts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("n"))
+    salts = saved(pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("n")), "near-salts")
     right = salts.join(words.withColumnRenamed("node", "v"), "v").select("v", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.col("words").alias("b"))
     salted = pairs.join(salts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("n")).cast("int").alias("salt"))
     left = salted.join(words.select(F.col("node").alias("u"), F.col("words").alias("a")), "u")
@@ -207,18 +207,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = saved(_sketched(base).withColumn("row", F.monotonically_increasing_id()), "near-rows")
     nodes = saved(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min_by("id", "row").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")), "near-nodes")
     band = nodes.select("node", "size", F.explode("keys").alias("key"))
-    groups = band.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("lead.node").alias("v"), F.col("lead.size").alias("v_size"))
+    # Aggregates are written before rows are joined to them: Spark splits a skewed join's hot key only where both sides
+    # are plain shuffles, not where one is the aggregate of the other.
+    groups = saved(band.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("lead.node").alias("v"), F.col("lead.size").alias("v_size")), "near-groups")
     grouped = saved(band.join(groups, "key"), "near-grouped")
     words = saved(_node_words(base, nodes, grouped.select("node").distinct()), "near-words")
 
     alike = F.least("size", "v_size") >= SIMILARITY * F.greatest("size", "v_size") - 1e-9
-    led = saved(_verified(grouped.where((F.col("node") != F.col("v")) & alike).select(F.col("node").alias("u"), "v").distinct(), words), "near-led")
+    led = saved(_verified(saved(grouped.where((F.col("node") != F.col("v")) & alike).select(F.col("node").alias("u"), "v").distinct(), "near-pairs"), words), "near-led")
     links = led
     roots = connected_components(led)
     # Groups that still hold several classes: neighbours in an order of the group's own, if of different classes.
     rooted = grouped.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-    beside = _neighbours(rooted.join(mixed, "key"))
+    beside = saved(_neighbours(rooted.join(saved(mixed, "near-mixed"), "key")), "near-beside")
     more = _verified(beside, words)
     links = saved(led.unionByName(more).distinct(), "near-links")
     return _classes(rows, nodes, links, id_col)
@@ -256,5 +258,5 @@ def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str) -
     ends = links.select("u").unionAll(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.select("digest", "node").join(roots, "node", "left").join(ends.withColumnRenamed("u", "node"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = saved(rows.select("id", "row", "digest").join(known, "digest").select("id", "row", "root", "n_links", "digest"), "near-placed")
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    first = saved(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size")), "near-first")
     return placed.join(first, "root").select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "n_links", "class_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("digest")).alias("words_md5"))
