@@ -24,6 +24,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 LEAST, ROWS, BANDS = 2, 3, 20
 #: About so many texts of a group are put in order by one task.
 STRETCH = 1024
+#: About so many texts that share a prefix shingle are probed by one task.
+PROBED = 512
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
@@ -222,7 +224,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
     beside = saved(_neighbours(rooted.join(saved(mixed, "near-mixed"), "key")), "near-beside")
     more = _verified(beside, words)
-    links = saved(led.unionByName(more).distinct(), "near-links")
+    links = saved(led.unionByName(more).distinct(), "near-linked")
+    # What is mixed even now is settled exactly: every pair of a group is verified or shares too few shingles.
+    rooted = saved(grouped.select("key", "node").join(connected_components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
+    mixed = saved(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "near-unsettled")
+    rest = saved(_sharing(_sets(words, rooted.join(mixed, "key").select("node", "root").distinct())), "near-rest")
+    links = saved(links.unionByName(_verified(rest, words)).distinct(), "near-links")
     return _classes(rows, nodes, links, id_col)
 
 
@@ -245,6 +252,43 @@ def _neighbours(rooted: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return pairs.where((F.col("root") != F.col("o.root")) & alike).select(F.greatest("node", "o.node").alias("u"), F.least("node", "o.node").alias("v")).distinct()
 
 
+def _sets(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, root) to (node, root, tokens): the distinct shingles that ``similar`` compares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(np.frombuffer(w.as_buffer(), np.uint32))).view(np.int64) for w in b.column(2)]
+            lengths = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))], ["node", "root", "tokens"])
+
+    return saved(wanted.join(words, "node").select("node", "root", "words").mapInArrow(tidy(run), "node long, root long, tokens array<long>"), "near-sets")
+
+
+def _sharing(sets: DataFrame, probed: int = PROBED) -> DataFrame:
+    """All pairs of different roots that may reach ``SIMILARITY``, by the prefix filter; no such pair is left out.
+
+    Shingles are put in one order for all texts: those of a single root first, then rare before common ones. Texts x and
+    y of sizes |y| <= |x| can reach the similarity s only if one of the first |x| - s |x| + 1 shingles of x is one of the
+    first |y| - 2 s |y| / (1 + s) + 1 shingles of y. A passage that very many texts share is late in the order.
+    """
+    held = sets.select("node", "root", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    spread = saved(held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("token", "n"), "near-spread")
+    ranked = held.join(spread, "token").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    first = F.col("size") - F.size("shared")
+    fewer = lambda share: (F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1).cast("int")
+    prefix = F.slice("shared", 1, F.greatest(fewer(SIMILARITY) - first, F.lit(0)))
+    placed = ranked.select("node", "root", "size", first.alias("first"), F.posexplode(prefix).alias("at", "x"))
+    cut = saved(placed.select(F.col("x.token").alias("token"), "node", "root", "size", (F.col("first") + F.col("at") < fewer(2 * SIMILARITY / (1 + SIMILARITY))).alias("early")), "near-prefixes")
+    groups = cut.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("early").alias("any"), F.count(F.lit(1)).alias("n")).where("lo < hi AND any")
+    parts = saved(groups.select("token", F.ceil(F.col("n") / probed).cast("int").alias("parts")), "near-parts")
+    dealt = saved(cut.join(parts, "token"), "near-dealt")
+    probes = dealt.select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "root", "size")
+    kept = dealt.where("early").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("o_node"), F.col("root").alias("o_root"), F.col("size").alias("o_size"))
+    alike = (F.col("o_size") <= F.col("size")) & (F.col("o_size") >= SIMILARITY * F.col("size") - 1e-9)
+    return probes.join(kept, ["token", "part"]).where((F.col("root") != F.col("o_root")) & alike).select(F.greatest("node", "o_node").alias("u"), F.least("node", "o_node").alias("v")).distinct()
+
+
 def _node_words(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Words of the wanted nodes, from a second scan that a bounded filter of their ids thins out."""
     picked = nodes.join(wanted, "node").select("node", "id", "digest")

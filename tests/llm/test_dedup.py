@@ -215,3 +215,22 @@ def test_neighbours_are_the_same_however_a_group_is_cut(spark):
     rooted = spark.range(3000).selectExpr("1L AS key", "id AS node", "10L AS size", "id AS root", "3000L AS n")
     whole, cut = (sorted(map(tuple, near_dedup._neighbours(rooted, stretch).collect())) for stretch in (10**6, 512))
     assert len(whole) == 2999 + 2998 and cut == whole
+
+
+def test_near_dedup_links_all_pairs_under_a_shared_passage(spark):
+    """Each text shares 88 of its 100 shingles with all others (0.786 alike); planted pairs share 90 (0.818 alike)."""
+    passage = " ".join(f"common{j}" for j in range(92))
+    text = lambda own, k: " ".join([passage, *(f"own{own}x{j}" for j in range(2)), *(f"tail{k}x{j}" for j in range(10))])
+    rows = [(k, text(k // 2 if k < 120 else k, k)) for k in range(2400)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert len(out) == 2400
+    assert {r["doc_id"]: r["class_id"] for r in out} == {k: k // 2 * 2 if k < 120 else k for k in range(2400)}
+
+
+def test_prefixes_leave_no_alike_pair_out(spark):
+    rng = np.random.default_rng(4)
+    sets = [sorted({int(x) for x in rng.choice(24, int(n), replace=False)}) for n in rng.integers(1, 14, 160)]
+    pairs = near_dedup._sharing(spark.createDataFrame([(k, k // 2, s) for k, s in enumerate(sets)], "node long, root long, tokens array<long>"), 16)
+    found = {(r["u"], r["v"]) for r in pairs.collect()}
+    alike = {(a, b) for a in range(160) for b in range(a) if a // 2 != b // 2 and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]}) - 1e-9}
+    assert alike and alike <= found
