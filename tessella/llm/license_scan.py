@@ -2,12 +2,16 @@
 
 Every line and every whole text is normalised and compared to the templates. A text of ``a`` distinct bigrams can reach
 a coefficient ``t`` with a template of ``b`` only if ``b t / (2 - t) <= a <= b (2 - t) / t``: all other templates are
-pruned before any intersection.
+pruned before any intersection. In the words that are left, runs of consecutive words are compared, whatever lines and
+sentences they lie in: a run starts and ends with a bigram of the template, and as many of the template's bigrams as the
+threshold needs must lie close enough together before any run is compared.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +34,17 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS"'
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Full license texts, compared to runs of words only. Those of Apache-2.0 and GPL-3.0 hold notices of ``TEMPLATES``.
+FULL_TEXTS = [
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", _BSD_HEAD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_TAIL),
+    ("ISC", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_AS_IS} AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT", f'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+]
+
 
 def template_bigrams(text: str) -> list[str]:
     """Distinct bigrams of the normalised text, in order."""
@@ -46,26 +61,68 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
 
-def _bigrams(words: Column) -> Column:
+def _pairs(words: Column) -> Column:
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _bigrams(words: Column) -> Column:
+    return F.array_distinct(_pairs(words))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _marks(pairs: Column, known: list[tuple[str, list[str]]]) -> Column:
+    """(at, gram): where a text's bigrams are any template's."""
+    grams = sorted({g for _, b in known for g in b})
+    return F.filter(F.transform(pairs, lambda g, i: F.when(g.isin(grams), F.struct(i.alias("at"), g.alias("gram")))), lambda m: m.isNotNull())
+
+
+def _starts(marks: Column, bigrams: list[str], threshold: float, then: Callable[[Column, Column, int, int], Column]) -> Column:
+    """``then`` of the template's marks and of those, with index, from which the needed number of marks is near enough."""
+    low, high = size_bounds(len(bigrams), threshold)
+    need, most = math.ceil(low), math.floor(high)
+    starts = lambda own: F.filter(F.transform(own, lambda m, i: F.when(F.get(own, i + (need - 1))["at"] - m["at"] < most, F.struct(m["at"].alias("at"), i.alias("i")))), lambda m: m.isNotNull())
+    return _let(F.filter(marks, lambda m: m["gram"].isin(bigrams)), lambda own: then(own, starts(own), need, most))
+
+
+def _runs(pairs: Column, known: list[tuple[str, list[str]]], threshold: float) -> Column:
+    """Runs of consecutive words that reach the threshold with a template: the best first, none that overlaps a better one."""
+
+    def of(p: Column, marks: Column, name: str, bigrams: list[str]) -> Column:
+        def dice(at: Column, end: Column) -> Column:
+            return _let(F.array_distinct(F.slice(p, at + 1, end - at + 1)), lambda w: 2.0 * F.size(F.array_intersect(w, F.array(*map(F.lit, bigrams)))) / (F.size(w) + len(bigrams)))
+
+        def compared(own: Column, starts: Column, need: int, most: int) -> Column:
+            ends = lambda s: F.filter(F.slice(own, s["i"] + need, most), lambda e: e["at"] - s["at"] < most)
+            return F.flatten(F.transform(starts, lambda s: F.transform(ends(s), lambda e: F.struct((-dice(s["at"], e["at"])).alias("less"), F.lit(name).alias("license"), s["at"].alias("at"), e["at"].alias("end")))))
+
+        return F.filter(_starts(marks, bigrams, threshold, compared), lambda x: -x["less"] >= threshold)
+
+    found = _let(pairs, lambda p: _let(_marks(p, known), lambda m: F.array_sort(F.concat(*[of(p, m, n, b) for n, b in known]))))
+    best = F.reduce(found, F.array().cast("array<struct<less:double,license:string,at:int,end:int>>"), lambda a, x: F.when(F.exists(a, lambda y: (y["at"] <= x["end"]) & (x["at"] <= y["end"])), a).otherwise(F.concat(a, F.array(x))))
+    return F.transform(best, lambda x: F.struct((-x["less"]).alias("dice"), x["license"].alias("license")))
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", full_texts: list[tuple[str, str]] = FULL_TEXTS) -> DataFrame:
     """One row per input row: id, license (of the best match, or null), dice (0 without match), n_matches, licenses.
 
-    Lines of a text, and the text as a whole, are each compared to every template that the size bounds leave;
-    ``n_matches`` counts those that reach ``threshold`` with some template, ``licenses`` names all matched. Ties go to the
+    Lines of a text, and the text as a whole, are each compared to every template that the size bounds leave. Where the
+    whole does not match, so are runs of consecutive words outside the lines that do, of any length within the size bounds,
+    also to ``full_texts``; of overlapping runs the best counts. ``n_matches`` counts the lines, texts and runs that reach ``threshold`` with some template, ``licenses`` names all matched. Ties go to the
     first license by name. Null counts as empty: no match. Repeated rows, null ids and further columns are harmless; an
     empty table gives an empty result.
     """
     known = [(name, template_bigrams(text)) for name, text in templates]
     low, _ = size_bounds(min(len(b) for _, b in known), threshold)
     _, high = size_bounds(max(len(b) for _, b in known), threshold)
-    base = docs.select(id_col, text_or_empty(text_col).alias("_t"))
+    base = docs.select(id_col, text_or_empty(text_col).alias("_t")).withColumn("_w", _words(F.col("_t")))
     # A line of n words has at most n - 1 distinct bigrams; repeated words make fewer, so only the lower bound prunes words.
     lines = base.withColumn("_lines", F.filter(F.transform(F.split("_t", "\n", -1), _words), lambda w: F.size(w) - 1 >= low))
-    whole = F.when(F.col("_t").contains("\n"), F.array(_words(F.col("_t")))).otherwise(F.slice("_lines", 1, 0))
+    whole = F.when(F.col("_t").contains("\n"), F.array(F.col("_w"))).otherwise(F.slice("_lines", 1, 0))
     units = lines.withColumn("_units", F.filter(F.transform(F.concat("_lines", whole), _bigrams), lambda b: F.size(b).between(low, high)))
 
     def best(unit: Column) -> Column:
@@ -78,7 +135,16 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         found = F.filter(F.array(*[dice(n, b) for n, b in known]), lambda x: x.isNotNull() & (x["dice"] >= threshold))
         return F.reduce(found, F.lit(None).cast("struct<dice:double,license:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["license"] < a["license"])), x).otherwise(a))
 
-    hits = units.withColumn("_hits", F.filter(F.transform("_units", best), lambda x: x.isNotNull()))
+    runs_of = known + [(name, template_bigrams(text)) for name, text in full_texts]
+    marked = units.withColumn("_marks", _marks(_pairs(F.col("_w")), runs_of))
+    near = F.array(*[_starts(F.col("_marks"), b, threshold, lambda own, starts, need, most: F.size(starts) > 0) for _, b in runs_of])
+    # Lines that match are left out of the runs: one word that is no template's stands for each.
+    left = F.flatten(F.transform(F.transform(F.split("_t", "\n", -1), _words), lambda w: F.when(best(_bigrams(w)).isNull(), w).otherwise(F.array(F.lit("\n")))))
+    whole_hit = F.col("_t").contains("\n") & best(_bigrams(F.col("_w"))).isNotNull()
+    some = (F.size("_marks") >= math.ceil(low)) & F.array_contains(near, True)
+    runs = F.when(some, F.when(~whole_hit, _runs(_pairs(left), runs_of, threshold)))
+    no_hits = F.array().cast("array<struct<dice:double,license:string>>")
+    hits = marked.withColumn("_runs", F.coalesce(runs, no_hits)).withColumn("_hits", F.concat(F.filter(F.transform("_units", best), lambda x: x.isNotNull()), "_runs"))
     top = F.reduce("_hits", F.lit(None).cast("struct<dice:double,license:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["license"] < a["license"])), x).otherwise(a))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["license"]))), ",")
     return hits.withColumn("_top", top).select(id_col, F.col("_top.license").alias("license"), F.coalesce(F.col("_top.dice"), F.lit(0.0)).alias("dice"), F.size("_hits").cast("long").alias("n_matches"), names.alias("licenses"))

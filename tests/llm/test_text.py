@@ -169,3 +169,15 @@ def test_license_scan_equals_plain(spark, odd_documents, odd_rows, no_documents)
     found = entries.op2_license_scan(spark, f"{DATA}/sf0.01").where(F.col("license").isNotNull())
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").where("text rlike '(?i)licensed under|MIT License'")
     assert found.count() == docs.count()
+
+
+def test_license_scan_finds_notices_inside_other_text(spark):
+    import textwrap
+
+    prose = "\n".join(f"Plain line {k} of a longer document about rivers number {k * 7}." for k in range(40))
+    known = license_scan.TEMPLATES + license_scan.FULL_TEXTS
+    inside = [(name, f"{prose}\n{text}\n{prose}") for name, notice in known for text in (f"Some words come before. {notice} Others follow it here.", textwrap.fill(notice, 72), textwrap.fill(notice, 30))]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(inside)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["license"], r["licenses"]) for r in license_scan.scan_licenses(df).collect()}
+    assert found == {k: (name, name) for k, (name, _) in enumerate(inside)}
+    assert license_scan.scan_licenses(spark.createDataFrame([(1, prose)], "doc_id long, text string")).where("n_matches > 0").count() == 0
