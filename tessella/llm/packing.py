@@ -20,14 +20,16 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessella.llm.bpe import Recent, byte_chars
+from tessella.llm.bpe import byte_chars
 from tessella.llm.common import tidy
 from tessella.shipping import ship
 
 #: The pattern by which byte-level vocabularies of this family split text; a fixed value of the file format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A single space or line feed between other characters begins a new chunk: no token crosses it.
-BOUNDARY = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: The white space of that pattern. A run of very many is cut out, as the pattern's engine recurses along it.
+BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+MOST_BLANKS = 100_000
+LONG_RUN = re.compile(f"[{BLANKS}]{{{MOST_BLANKS},}}")
 ID_BYTES = 4
 
 
@@ -44,26 +46,19 @@ class ByteTokens:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.coder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = Recent(self._packed, 100_000)
-        self.chunks = Recent(self._chunk, 150_000)
-
-    def _packed(self, text: str) -> bytes:
-        return array("I", self.coder.encode_ordinary(text)).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that begins with a line feed, or of one whose space before it has been taken off."""
-        feed = chunk[0] == "\n"
-        word = chunk[feed:].rstrip(".,")
-        if not word.isalpha():
-            return self._packed(chunk if feed else " " + chunk)
-        tail = chunk[feed + len(word) :]
-        return (self.pieces["\n"] + self.pieces[word] if feed else self.pieces[" " + word]) + (self.pieces[tail] if tail else b"")
 
     def _plain(self, text: str) -> bytes:
-        parts = text.replace("\n", " \n").split(" ")
-        if "" in parts or "\n" in parts or len(parts) != len(text.split()):  # other white space than single spaces and line feeds
-            parts = [x[1:] if x[0] == " " and k else x for k, x in enumerate(BOUNDARY.split(text))]
-        return self._packed(parts[0]) + b"".join(map(self.chunks.__getitem__, parts[1:]))
+        if len(text) <= MOST_BLANKS:
+            return array("I", self.coder.encode_ordinary(text)).tobytes()
+        out, at = array("I"), 0
+        for run in LONG_RUN.finditer(text):
+            # A run is one piece, less its last character where another character follows it.
+            end = run.end() - (run.end() < len(text))
+            out.extend(self.coder.encode_ordinary(text[at : run.start()]))
+            out.extend(self.coder._encode_single_piece(text[run.start() : end]))
+            at = end
+        out.extend(self.coder.encode_ordinary(text[at:]))
+        return out.tobytes()
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a whole text; the strings of added tokens stand for those tokens."""

@@ -44,6 +44,16 @@ def test_byte_ids_equal_library(byte, text):
     assert np.frombuffer(mine.packed(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u3000", " \n"])
+def test_byte_ids_of_long_blank_runs(byte, blank):
+    mine, library = byte
+    for n in (packing.MOST_BLANKS - 1, packing.MOST_BLANKS, packing.MOST_BLANKS + 1, 2_000_000):
+        run = blank * (n // len(blank))
+        for text in (f"a{run}b",) if n > 200_000 else (run, f"a{run}", f"{run}b", f"x {run} 's", f"{run}a{run}<|endoftext|>{run}"):
+            ids = mine.packed(text)
+            assert len(ids) and np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_word_and_small_caches(word):
     mine, library = word
     text = "ab" * 20000
