@@ -2,7 +2,7 @@
 
 Every line and every whole text is normalised and compared to the templates. A text of ``a`` distinct bigrams can reach
 a coefficient ``t`` with a template of ``b`` only if ``b t / (2 - t) <= a <= b (2 - t) / t``: all other templates are
-pruned before any intersection. In the words that are left, runs of consecutive words are compared, whatever lines and
+pruned before any intersection. A text that lacks too many of every template's words is not looked into at all. In the words that are left, runs of consecutive words are compared, whatever lines and
 sentences they lie in: a run starts and ends with a bigram of the template, and as many of the template's bigrams as the
 threshold needs must lie close enough together before any run is compared.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +58,47 @@ def size_bounds(n: int, threshold: float) -> tuple[float, float]:
     return n * threshold / (2 - threshold) - 1e-9, n * (2 - threshold) / threshold + 1e-9
 
 
+@dataclass(frozen=True)
+class Needed:
+    """What a text must hold to reach the threshold with a template: one of ``anchors``, and words of ``least`` in all.
+
+    A text that reaches it lacks at most ``lacking`` of the template's bigrams. A word that it does not hold costs it all
+    bigrams with that word, so of words in more bigrams than that it holds one; and as a bigram has two words, the
+    numbers of bigrams of the words it does not hold add up to twice ``lacking`` at most.
+    """
+
+    anchors: list[str]
+    words: dict[str, int]
+    least: int
+
+    @classmethod
+    def of(cls, bigrams: list[str], threshold: float) -> Needed:
+        held = [set(b.split(" ")) for b in bigrams]
+        lacking = len(bigrams) - math.ceil(size_bounds(len(bigrams), threshold)[0])
+        words = {w: sum(w in h for h in held) for w in sorted(set().union(*held), key=lambda w: (-len(w), w))}
+        chosen = [w for w, n in words.items() if n > lacking][:1]
+        for word in words:
+            if sum(not h.isdisjoint(chosen) for h in held) > lacking:
+                break
+            chosen.append(word)
+        return cls(chosen, words, sum(words.values()) - 2 * lacking)
+
+
+def _may_match(words: Column, known: list[tuple[str, list[str]]], threshold: float) -> Column:
+    """False only for texts that no template can match."""
+    needed = [Needed.of(b, threshold) for _, b in known]
+    weighed = lambda n: F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("n")) for w, k in n.words.items()])
+    rules = F.array(*[F.struct(F.array(*map(F.lit, n.anchors)).alias("anchors"), weighed(n).alias("words"), F.lit(n.least).alias("least")) for n in needed])
+    count = lambda held, rule: F.aggregate(rule["words"], F.lit(0), lambda a, x: a + F.when(F.array_contains(held, x["word"]), x["n"]).otherwise(F.lit(0)))
+    every = F.array(*map(F.lit, sorted({w for n in needed for w in n.words})))
+    return _let(F.array_intersect(words, every), lambda held: F.exists(rules, lambda rule: F.arrays_overlap(held, rule["anchors"]) & (count(held, rule) >= rule["least"])))
+
+
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    return F.filter(F.split(F.lower(line), NO_WORD, -1), lambda w: w != "")
 
 
 def _pairs(words: Column) -> Column:
@@ -89,20 +129,21 @@ def _starts(marks: Column, bigrams: list[str], threshold: float, then: Callable[
     return _let(F.filter(marks, lambda m: m["gram"].isin(bigrams)), lambda own: then(own, starts(own), need, most))
 
 
-def _runs(pairs: Column, known: list[tuple[str, list[str]]], threshold: float) -> Column:
+def _runs(pairs: Column, marks: Column, near: Column, known: list[tuple[str, list[str]]], threshold: float) -> Column:
     """Runs of consecutive words that reach the threshold with a template: the best first, none that overlaps a better one."""
 
-    def of(p: Column, marks: Column, name: str, bigrams: list[str]) -> Column:
+    def of(k: int, name: str, bigrams: list[str]) -> Column:
         def dice(at: Column, end: Column) -> Column:
-            return _let(F.array_distinct(F.slice(p, at + 1, end - at + 1)), lambda w: 2.0 * F.size(F.array_intersect(w, F.array(*map(F.lit, bigrams)))) / (F.size(w) + len(bigrams)))
+            return _let(F.array_distinct(F.slice(pairs, at + 1, end - at + 1)), lambda w: 2.0 * F.size(F.array_intersect(w, F.array(*map(F.lit, bigrams)))) / (F.size(w) + len(bigrams)))
 
         def compared(own: Column, starts: Column, need: int, most: int) -> Column:
             ends = lambda s: F.filter(F.slice(own, s["i"] + need, most), lambda e: e["at"] - s["at"] < most)
             return F.flatten(F.transform(starts, lambda s: F.transform(ends(s), lambda e: F.struct((-dice(s["at"], e["at"])).alias("less"), F.lit(name).alias("license"), s["at"].alias("at"), e["at"].alias("end")))))
 
-        return F.filter(_starts(marks, bigrams, threshold, compared), lambda x: -x["less"] >= threshold)
+        found = F.filter(_starts(marks, bigrams, threshold, compared), lambda x: -x["less"] >= threshold)
+        return F.when(near[k], found).otherwise(F.array().cast("array<struct<less:double,license:string,at:int,end:int>>"))
 
-    found = _let(pairs, lambda p: _let(_marks(p, known), lambda m: F.array_sort(F.concat(*[of(p, m, n, b) for n, b in known]))))
+    found = F.array_sort(F.concat(*[of(k, n, b) for k, (n, b) in enumerate(known)]))
     best = F.reduce(found, F.array().cast("array<struct<less:double,license:string,at:int,end:int>>"), lambda a, x: F.when(F.exists(a, lambda y: (y["at"] <= x["end"]) & (x["at"] <= y["end"])), a).otherwise(F.concat(a, F.array(x))))
     return F.transform(best, lambda x: F.struct((-x["less"]).alias("dice"), x["license"].alias("license")))
 
@@ -117,15 +158,15 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     empty table gives an empty result.
     """
     known = [(name, template_bigrams(text)) for name, text in templates]
+    runs_of = known + [(name, template_bigrams(text)) for name, text in full_texts]
     low, _ = size_bounds(min(len(b) for _, b in known), threshold)
     _, high = size_bounds(max(len(b) for _, b in known), threshold)
-    base = docs.select(id_col, text_or_empty(text_col).alias("_t")).withColumn("_w", _words(F.col("_t")))
-    # A line of n words has at most n - 1 distinct bigrams; repeated words make fewer, so only the lower bound prunes words.
-    lines = base.withColumn("_lines", F.filter(F.transform(F.split("_t", "\n", -1), _words), lambda w: F.size(w) - 1 >= low))
-    whole = F.when(F.col("_t").contains("\n"), F.array(F.col("_w"))).otherwise(F.slice("_lines", 1, 0))
-    units = lines.withColumn("_units", F.filter(F.transform(F.concat("_lines", whole), _bigrams), lambda b: F.size(b).between(low, high)))
+    hit = "struct<dice:double,license:string>"
+    better = lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["license"] < a["license"])), x).otherwise(a)
 
     def best(unit: Column) -> Column:
+        """The best template of a unit's distinct bigrams, or null."""
+
         def dice(name: str, bigrams: list[str]) -> Column:
             size = F.size(unit)
             fits = size.between(*size_bounds(len(bigrams), threshold))
@@ -133,19 +174,25 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
             return F.when(fits, F.struct(value.alias("dice"), F.lit(name).alias("license")))
 
         found = F.filter(F.array(*[dice(n, b) for n, b in known]), lambda x: x.isNotNull() & (x["dice"] >= threshold))
-        return F.reduce(found, F.lit(None).cast("struct<dice:double,license:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["license"] < a["license"])), x).otherwise(a))
+        return F.when(F.size(unit).between(low, high), F.reduce(found, F.lit(None).cast(hit), better))
 
-    runs_of = known + [(name, template_bigrams(text)) for name, text in full_texts]
-    marked = units.withColumn("_marks", _marks(_pairs(F.col("_w")), runs_of))
-    near = F.array(*[_starts(F.col("_marks"), b, threshold, lambda own, starts, need, most: F.size(starts) > 0) for _, b in runs_of])
+    raw = docs.select(id_col, text_or_empty(text_col).alias("_raw")).withColumn("_all", F.split(F.lower("_raw"), NO_WORD, -1))
+    # A text that lacks too many words of every template counts as empty from here on.
+    base = raw.select(id_col, F.when(_may_match(F.col("_all"), runs_of, threshold), F.col("_raw")).otherwise(F.lit("")).alias("_t"))
+    split = base.withColumn("_lines", F.transform(F.split("_t", "\n", -1), _words))
+    # A line of n words has at most n - 1 distinct bigrams; repeated words make fewer, so only the lower bound prunes words.
+    lined = split.withColumn("_found", F.transform("_lines", lambda w: F.when(F.size(w) - 1 >= low, _let(_bigrams(w), best))))
+    whole = lined.withColumn("_whole", F.when(F.size("_lines") > 1, _let(_bigrams(F.flatten("_lines")), best)))
     # Lines that match are left out of the runs: one word that is no template's stands for each.
-    left = F.flatten(F.transform(F.transform(F.split("_t", "\n", -1), _words), lambda w: F.when(best(_bigrams(w)).isNull(), w).otherwise(F.array(F.lit("\n")))))
-    whole_hit = F.col("_t").contains("\n") & best(_bigrams(F.col("_w"))).isNotNull()
-    some = (F.size("_marks") >= math.ceil(low)) & F.array_contains(near, True)
-    runs = F.when(some, F.when(~whole_hit, _runs(_pairs(left), runs_of, threshold)))
-    no_hits = F.array().cast("array<struct<dice:double,license:string>>")
-    hits = marked.withColumn("_runs", F.coalesce(runs, no_hits)).withColumn("_hits", F.concat(F.filter(F.transform("_units", best), lambda x: x.isNotNull()), "_runs"))
-    top = F.reduce("_hits", F.lit(None).cast("struct<dice:double,license:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["license"] < a["license"])), x).otherwise(a))
+    left = F.flatten(F.zip_with("_lines", "_found", lambda w, h: F.when(h.isNull(), w).otherwise(F.array(F.lit("\n")))))
+    left = whole.withColumn("_pairs", F.when(F.col("_whole").isNull(), _let(left, _pairs))).withColumn("_marks", _marks(F.col("_pairs"), runs_of))
+    near = F.array(*[_starts(F.col("_marks"), b, threshold, lambda own, starts, need, most: F.size(starts) > 0) for _, b in runs_of])
+    marked = left.withColumn("_near", F.when(F.size("_marks") >= math.ceil(low), near))
+    runs = F.when(F.array_contains("_near", True), _runs(F.col("_pairs"), F.col("_marks"), F.col("_near"), runs_of, threshold))
+    no_hits = F.array().cast(f"array<{hit}>")
+    units = F.filter(F.concat("_found", F.array("_whole")), lambda x: x.isNotNull())
+    hits = marked.withColumn("_hits", F.concat(units, F.coalesce(runs, no_hits)))
+    top = F.reduce("_hits", F.lit(None).cast(hit), better)
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["license"]))), ",")
     return hits.withColumn("_top", top).select(id_col, F.col("_top.license").alias("license"), F.coalesce(F.col("_top.dice"), F.lit(0.0)).alias("dice"), F.size("_hits").cast("long").alias("n_matches"), names.alias("licenses"))
 
