@@ -9,6 +9,7 @@ threshold needs must lie close enough together before any run is compared.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Callable
@@ -87,10 +88,10 @@ class Needed:
 def _may_match(words: Column, known: list[tuple[str, list[str]]], threshold: float) -> Column:
     """False only for texts that no template can match."""
     needed = [Needed.of(b, threshold) for _, b in known]
-    weighed = lambda n: F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("n")) for w, k in n.words.items()])
-    rules = F.array(*[F.struct(F.array(*map(F.lit, n.anchors)).alias("anchors"), weighed(n).alias("words"), F.lit(n.least).alias("least")) for n in needed])
+    spec = json.dumps([{"anchors": n.anchors, "words": [{"word": w, "n": k} for w, k in n.words.items()], "least": n.least} for n in needed])
+    rules = F.from_json(F.lit(spec), "array<struct<anchors:array<string>,words:array<struct<word:string,n:int>>,least:int>>")
     count = lambda held, rule: F.aggregate(rule["words"], F.lit(0), lambda a, x: a + F.when(F.array_contains(held, x["word"]), x["n"]).otherwise(F.lit(0)))
-    every = F.array(*map(F.lit, sorted({w for n in needed for w in n.words})))
+    every = _strings(sorted({w for n in needed for w in n.words}))
     return _let(F.array_intersect(words, every), lambda held: F.exists(rules, lambda rule: F.arrays_overlap(held, rule["anchors"]) & (count(held, rule) >= rule["least"])))
 
 
@@ -101,6 +102,11 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), NO_WORD, -1), lambda w: w != "")
 
 
+def _strings(values: list[str]) -> Column:
+    """A constant array of strings without line feeds, as one literal."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
 def _pairs(words: Column) -> Column:
     n = F.greatest(F.size(words) - 1, F.lit(0))
     return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -126,7 +132,7 @@ def _starts(marks: Column, bigrams: list[str], threshold: float, then: Callable[
     low, high = size_bounds(len(bigrams), threshold)
     need, most = math.ceil(low), math.floor(high)
     starts = lambda own: F.filter(F.transform(own, lambda m, i: F.when(F.get(own, i + (need - 1))["at"] - m["at"] < most, F.struct(m["at"].alias("at"), i.alias("i")))), lambda m: m.isNotNull())
-    return _let(F.filter(marks, lambda m: m["gram"].isin(bigrams)), lambda own: then(own, starts(own), need, most))
+    return _let(F.filter(marks, lambda m: F.array_contains(_strings(bigrams), m["gram"])), lambda own: then(own, starts(own), need, most))
 
 
 def _runs(pairs: Column, marks: Column, near: Column, known: list[tuple[str, list[str]]], threshold: float) -> Column:
@@ -134,7 +140,7 @@ def _runs(pairs: Column, marks: Column, near: Column, known: list[tuple[str, lis
 
     def of(k: int, name: str, bigrams: list[str]) -> Column:
         def dice(at: Column, end: Column) -> Column:
-            return _let(F.array_distinct(F.slice(pairs, at + 1, end - at + 1)), lambda w: 2.0 * F.size(F.array_intersect(w, F.array(*map(F.lit, bigrams)))) / (F.size(w) + len(bigrams)))
+            return _let(F.array_distinct(F.slice(pairs, at + 1, end - at + 1)), lambda w: 2.0 * F.size(F.array_intersect(w, _strings(bigrams))) / (F.size(w) + len(bigrams)))
 
         def compared(own: Column, starts: Column, need: int, most: int) -> Column:
             ends = lambda s: F.filter(F.slice(own, s["i"] + need, most), lambda e: e["at"] - s["at"] < most)
@@ -170,7 +176,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         def dice(name: str, bigrams: list[str]) -> Column:
             size = F.size(unit)
             fits = size.between(*size_bounds(len(bigrams), threshold))
-            value = 2.0 * F.size(F.array_intersect(unit, F.array(*map(F.lit, bigrams)))) / (size + len(bigrams))
+            value = 2.0 * F.size(F.array_intersect(unit, _strings(bigrams))) / (size + len(bigrams))
             return F.when(fits, F.struct(value.alias("dice"), F.lit(name).alias("license")))
 
         found = F.filter(F.array(*[dice(n, b) for n, b in known]), lambda x: x.isNotNull() & (x["dice"] >= threshold))
