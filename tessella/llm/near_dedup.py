@@ -7,7 +7,6 @@ the Jaccard coefficient of their shingle sets and by a banded alignment of their
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Least k-mers per sketch, sketches per band, bands.
 LEAST, ROWS, BANDS = 2, 3, 20
 #: About so many texts of a group are put in order by one task.
-STRETCH = 1024
+STRETCH = 128
 #: About so many texts that share a prefix shingle are probed by one task.
 PROBED = 512
 
@@ -108,35 +107,69 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return _mix((bands * _PLACES[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _C1).astype(np.int64)
 
 
+#: Up to so many edits the furthest-reaching alignment is followed; beyond, the band is filled in row by row.
+FEW_EDITS = 48
+
+
+def _slide(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """From (i, j) along equal words: the row of the first mismatch. Looks ahead in growing steps."""
+    last, step = min(len(a) - i, len(b) - j), 8
+    at = 0
+    while at < last:
+        n = min(step, last - at)
+        wrong = a[i + at : i + at + n] != b[j + at : j + at + n]
+        k = int(wrong.argmax())
+        if wrong[k]:
+            return i + at + k
+        at, step = at + n, min(step * 4, 1 << 16)
+    return i + last
+
+
 def edit_similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether 1 - edits / longer length >= ``similarity``: furthest-reaching alignment within the band that allows it."""
+    """Whether 1 - edits / longer length >= ``similarity``, by alignment within the band that this many edits allow.
+
+    Memory is that of a few rows of the band, whatever the texts' length and order.
+    """
     n, m = len(a), len(b)
     most = int((1 - similarity) * max(n, m) + 1e-9)
     if abs(n - m) > most:
         return False
-    wrong: dict[int, list[int]] = {}
-
-    def slide(i: int, k: int) -> int:
-        """From row i of diagonal k (column i + k) over equal words."""
-        if k not in wrong:
-            lo, hi = max(0, -k), min(n, m - k)
-            wrong[k] = [*(np.flatnonzero(a[lo:hi] != b[lo + k : hi + k]) + lo).tolist(), hi]
-        at = wrong[k]
-        return at[bisect_left(at, i)] if i <= at[-1] else i
-
-    reach = {0: slide(0, 0)}
-    goal = m - n
-    for e in range(most + 1):
+    goal, reach = m - n, {0: _slide(a, b, 0, 0)}
+    for e in range(min(most, FEW_EDITS) + 1):
         if reach.get(goal, -1) >= n:
             return True
         new = {}
-        for k in range(-e - 1, e + 2):
-            if -n <= k <= m:
-                i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
-                if i >= 0:
-                    new[k] = slide(min(i, n, m - k), k)
+        for k in range(max(-e - 1, -n), min(e + 1, m) + 1):
+            i = min(max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1), n, m - k)
+            if i >= 0:
+                new[k] = _slide(a, b, i, i + k)
         reach = new
-    return False
+    return most > FEW_EDITS and _banded(a, b, most)
+
+
+def _banded(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether at most ``most`` edits turn a into b: rows of the band |column - row| <= most, each from the one before."""
+    n, m, width = len(a), len(b), 2 * most + 1
+    far = np.int32(n + m + 1)
+    place = np.arange(width, dtype=np.int32)
+    row = np.where(place >= most, place - most, far).astype(np.int32)  # row 0: column j costs j
+    row[np.arange(width) - most > m] = far
+    padded = np.concatenate([np.zeros(most, b.dtype), b, np.zeros(width, b.dtype)])
+    for i in range(1, n + 1):
+        # Entry d stands for column i + d - most; the diagonal step comes from entry d of the row before, the step down from d + 1.
+        step = row + (padded[i - 1 : i - 1 + width] != a[i - 1])
+        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
+        lo, hi = max(0, most - i), min(width, m - i + most + 1)
+        if lo >= hi:
+            return False
+        step[:lo] = far
+        step[hi:] = far
+        if i <= most:
+            step[lo] = min(step[lo], i)  # column 0
+        row = np.minimum.accumulate(step - place) + place
+        if i % 64 == 0 and row[lo:hi].min() > most:
+            return False
+    return bool(row[m - n + most] <= most)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
