@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of all contracts here: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -17,6 +17,7 @@ WS_CLASS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
 #: Bits of a bounded membership filter: one megabyte, whatever the input.
 FILTER_BITS = 1 << 23
+TOP = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,6 +91,30 @@ def crc_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
+def drawn(df: DataFrame, k: int, *keys: str, by: str | None = None, tag: str = "draw") -> DataFrame:
+    """Exactly the ``k`` rows (fewer if there are fewer) of each value of ``by`` whose hash of ``tag`` and ``keys`` is least.
+
+    Rows are counted, those below a hash that somewhat more than ``k`` rows of each value are expected below are ranked;
+    if that leaves too few (as many rows that repeat each other may), the bar is raised and they are ranked again. ``k``
+    rows of each value reach the rank's task, and ties by hash are cut there, whatever the number of rows.
+    """
+    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(F.lit(tag), *keys), F.lit(TOP)))
+    value = F.lit(0) if by is None else F.col(by)
+    hashed = hashed.withColumn("_by", value)
+    sizes = {r["_by"]: r["n"] for r in hashed.groupBy("_by").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = {v: min(1.0, (k + 6 * k**0.5 + 10) / n) for v, n in sizes.items()}
+    while True:
+        bar = F.lit(0).cast("long")
+        for v, share in shares.items():
+            bar = F.when(F.col("_by").eqNullSafe(F.lit(v)), F.lit(min(TOP, int(share * TOP)))).otherwise(bar)
+        ranked = hashed.where(F.col("_hash") <= bar).withColumn("_rank", F.row_number().over(Window.partitionBy("_by").orderBy("_hash"))).where(F.col("_rank") <= k)
+        found = {r["_by"]: r["n"] for r in ranked.groupBy("_by").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [v for v, n in sizes.items() if found.get(v, 0) < min(k, n)]
+        if not short:
+            return ranked.drop("_hash", "_by", "_rank")
+        shares |= {v: min(1.0, shares[v] * 8) for v in short}
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str, digest: Column, digest_col: str) -> DataFrame:
     """The rows of ``docs`` whose (id, digest) ``decided`` marks as kept; of repeats of one id and text, one row.
 

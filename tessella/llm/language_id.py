@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import crc_of_id, tidy
+from tessella.llm.common import crc_of_id, drawn, saved, tidy
 from tessella.shipping import ship
 
 UNDETERMINED = "und"
@@ -114,20 +114,15 @@ def mixtures(segments: list[np.ndarray], n_langs: int, penalty: float = 4.0, rou
 
 
 def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, condition: Column | None = None) -> LanguageModel:
-    """Count trigrams of about ``per_lang`` whole documents of each language, drawn by a hash of id and text.
+    """Count trigrams of ``per_lang`` whole documents of each language (all, if fewer), drawn by a hash of id and text.
 
     Rows with null text or language, and those that ``condition`` excludes, are never used. The sample is the only bound;
-    its counts (languages x buckets at most) go to the driver.
+    its counts (languages x buckets at most) go to the driver. Repeated rows are drawn each, up to ``per_lang``.
     """
     ship(docs.sparkSession)
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if condition is None else condition).alias("use")).where("use AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    chosen = saved(drawn(usable, per_lang, "id", "text", by="lang", tag="language sample").select("lang", "text"), "language-sample")
+    langs = [r["lang"] for r in chosen.select("lang").distinct().collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -139,8 +134,8 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "bucket", "n"])
 
-    counts: dict[str, dict[int, int]] = {lang: {} for lang in sizes}
-    for r in drawn.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    counts: dict[str, dict[int, int]] = {lang: {} for lang in langs}
+    for r in chosen.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["lang"]][r["bucket"]] = r["n"]
     return LanguageModel.from_counts(counts)
 

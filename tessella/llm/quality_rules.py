@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import crc_of_id, text_or_empty
+from tessella.llm.common import crc_of_id, drawn, text_or_empty
 
 STATISTICS = ["log_chars", "upper", "digits", "symbols", "stops", "distinct_words", "word_length", "longest_word", "distinct_lines", "words_per_line", "one_char_words", "repeats"]
 
@@ -135,20 +135,25 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rat
 
 
 def train_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000) -> RuleModel:
-    """Fit on about ``sample_rows`` labelled documents, drawn by a hash of the id from those whose crc32 mod 5 is not 0.
+    """Fit on ``sample_rows`` labelled documents (all, if there are fewer) with crc32 mod 5 not 0, drawn by a hash of the id.
 
-    Several labels of one id count as their mean, rounded. The sample's statistics (numbers, no texts) go to the driver.
+    Several labels of one id count as their mean, rounded, and null labels and ids are passed over. Where rows repeat an
+    id, the first text is learned from. The sample's statistics (numbers, no texts) go to the driver.
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & (crc_of_id(id_col) % 5 != 0))
-    rows = usable.count()
-    share = min(1.0, sample_rows / rows) if rows else 0.0
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit("quality sample"), id_col), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy(id_col).agg(F.round(F.avg("quality")).alias("_y"))
-    # The drawn ids are bounded by sample_rows, so this broadcast has a proven size.
-    joined = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
-    found = with_statistics(joined, text_col).select("_y", "_stats.*").toPandas()
+    one_each = usable.groupBy(F.col(id_col).alias("_id")).agg(F.round(F.avg("quality")).alias("_y"))
+    # At most sample_rows ids, so this broadcast has a proven size.
+    chosen = F.broadcast(drawn(one_each, sample_rows, "_id", tag="quality sample"))
+    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y"))
+    found = with_statistics(joined, "_text").select("_y", "_stats.*").toPandas()
     return fit_rules(found[STATISTICS].to_numpy(float), found["_y"].to_numpy(float))
 
 
-def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_score`` (0 to 1). Null and empty texts get the score of the empty text; no row is dropped."""
-    return with_statistics(docs, text_col).withColumn("_score", model.score()).drop("_stats")
+def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """``docs`` with ``score_col`` (0 to 1), which replaces a column of that name; all other columns stay as they are.
+
+    Null and empty texts get the score of the empty text; no row is dropped, repeated rows are scored each.
+    """
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
+    scored = with_statistics(packed, "_text").select("_row", model.score().alias("_score"))
+    return scored.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != score_col], F.col("_score").alias(score_col))
