@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 #: The white space of all contracts here: space, tab, line feed, vertical tab, form feed, carriage return.
 WS_CLASS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
-#: Bits of a bounded membership filter: one megabyte, whatever the input.
-FILTER_BITS = 1 << 23
+#: Bits of a membership filter: 16 for each key, within these bounds (128 KB and 128 MB). Beyond, none is made.
+LEAST_BITS, MOST_BITS, KEY_BITS = 1 << 20, 1 << 30, 16
 TOP = (1 << 63) - 1
 
 
@@ -37,8 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new, unused path below this application's folder of the shared folder."""
+    return f"{shared_dir(spark)}/tessella-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application: call it once its results are written elsewhere."""
+    drop_path(spark, f"{shared_dir(spark)}/tessella-{spark.sparkContext.applicationId}")
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -66,18 +71,26 @@ def ascii_lower(col: Column) -> Column:
     return F.when(pure, F.lower(col)).otherwise(F.translate(col, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def bucket_of(cols: list[Column], bits: int = FILTER_BITS) -> Column:
+def filter_bits(n_keys: int) -> int | None:
+    """A power of two of about 16 bits a key; None for so many keys that their filter must not be broadcast."""
+    bits = max(LEAST_BITS, 1 << (KEY_BITS * max(1, n_keys) - 1).bit_length())
+    return bits if bits <= MOST_BITS else None
+
+
+def bucket_of(cols: list[Column], bits: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(bits))
 
 
-def key_filter(keys: DataFrame, cols: list[Column], bits: int = FILTER_BITS) -> DataFrame:
+def key_filter(keys: DataFrame, cols: list[Column], bits: int) -> DataFrame:
     """A one-hash membership filter as ``bits / 32768`` rows of 4 KB each: bounded, so that it may be broadcast."""
     b = bucket_of(cols, bits)
     return keys.select(F.bitmap_bucket_number(b).alias("_bucket"), F.bitmap_bit_position(b).alias("_pos")).groupBy("_bucket").agg(F.bitmap_construct_agg("_pos").alias("_bits"))
 
 
-def in_filter(df: DataFrame, cols: list[Column], bitmap: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Add boolean ``name``: false only for rows whose key is certainly not among the filter's keys."""
+def in_filter(df: DataFrame, cols: list[Column], bitmap: DataFrame | None, name: str, bits: int | None) -> DataFrame:
+    """Add boolean ``name``: false only for rows whose key is certainly not among the filter's keys. No filter: all true."""
+    if bitmap is None or bits is None:
+        return df.withColumn(name, F.lit(True))
     b = bucket_of(cols, bits)
     pos = F.bitmap_bit_position(b)
     joined = df.withColumn("_b", F.bitmap_bucket_number(b)).join(F.broadcast(bitmap.withColumnRenamed("_bucket", "_b")), "_b", "left")
@@ -86,6 +99,16 @@ def in_filter(df: DataFrame, cols: list[Column], bitmap: DataFrame, name: str, b
     return joined.withColumn(name, hit).drop("_b", "_bits")
 
 
+def flagged(df: DataFrame, cols: list[Column], keys: DataFrame, name: str = "_maybe", key_cols: list[Column] | None = None) -> DataFrame:
+    """``df`` with boolean ``name``: false only for rows whose key is not among ``keys``.
+
+    The filter is sized by the number of keys, which is counted; where it would be too large to broadcast, every row is
+    true and the join that follows sorts both sides whole.
+    """
+    bits = filter_bits(keys.count())
+    return in_filter(df, cols, key_filter(keys, key_cols or cols, bits) if bits else None, name, bits)
+
+
 def crc_of_id(id_col: str = "doc_id") -> Column:
     """CRC-32 of an id's decimal text; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
@@ -124,10 +147,10 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str, digest: Column,
     packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), digest.alias("_digest"))
     dropped = decided.where(~F.col("kept")).select(F.col(id_col).alias("_id"))
     kept = decided.where("kept").select(F.col(id_col).alias("_kept_id"), F.col(digest_col).alias("_kept_digest")).distinct()
-    flagged = in_filter(packed, [F.col("_id")], key_filter(dropped, [F.col("_id")]), "_maybe")
-    sure = flagged.where(~F.col("_maybe")).select("_row.*")
-    found = flagged.where("_maybe").join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
-    return sure.unionByName(found.dropDuplicates(["_id", "_digest"]).select("_row.*"))
+    found = flagged(packed, [F.col("_id")], dropped)
+    sure = found.where(~F.col("_maybe")).select("_row.*")
+    stay = found.where("_maybe").join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
+    return sure.unionByName(stay.dropDuplicates(["_id", "_digest"]).select("_row.*"))
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

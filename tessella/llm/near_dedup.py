@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import in_filter, key_filter, saved, text_or_empty, tidy
+from tessella.llm.common import flagged, saved, text_or_empty, tidy
 from tessella.llm.components import connected_components
 from tessella.shipping import ship
 
@@ -324,9 +324,8 @@ def _sharing(sets: DataFrame, probed: int = PROBED) -> DataFrame:
 
 def _node_words(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Words of the wanted nodes, from a second scan that a bounded filter of their ids thins out."""
-    picked = nodes.join(wanted, "node").select("node", "id", "digest")
-    flagged = in_filter(base, [F.col("id")], key_filter(picked, [F.col("id")]), "_maybe").where("_maybe")
-    texts = flagged.select(norm_words("text").alias("norm")).withColumn("digest", F.unhex(F.md5("norm")))
+    picked = saved(nodes.join(wanted, "node").select("node", "id", "digest"), "near-picked")
+    texts = flagged(base, [F.col("id")], picked).where("_maybe").select(norm_words("text").alias("norm")).withColumn("digest", F.unhex(F.md5("norm")))
     return _words(texts.join(picked.select("digest", "node"), "digest").select("node", "norm")).dropDuplicates(["node"])
 
 

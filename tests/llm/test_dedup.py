@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm import entries, exact_dedup, line_dedup, near_dedup
-from tessella.llm.common import in_filter, key_filter, keep_rows, saved
+from tessella.llm.common import drawn, filter_bits, in_filter, keep_rows, key_filter, saved
 from tessella.llm.components import connected_components
 from tests.conftest import DATA, assert_same
 
@@ -46,17 +46,54 @@ def test_colliding_digests_are_told_apart(spark):
     wrong = base.select(F.unhex(F.sha2("text", 256)).alias("digest")).distinct()
     again = {r["id"]: r for r in exact_dedup._by_whole_text(base, out, wrong).collect()}
     assert [(again[i]["keep_id"], again[i]["group_size"], again[i]["kept"]) for i in (1, 2, 3, 4)] == [(1, 2, True), (2, 1, True), (1, 2, False), (4, 1, True)]
-    assert one is not None and exact_dedup._unequal(base, base.select("id"), 1 << 15) is None
+    assert one is not None and exact_dedup._unequal(base, base.select("id")) is None
 
 
-def test_index_takes_batches(spark):
-    index = exact_dedup.DigestIndex(spark)
-    make = lambda ids: spark.createDataFrame([(i, f"{i % 5:02x}") for i in ids], "id long, h string").select("id", F.unhex("h").alias("digest"), F.col("id").alias("row"))
-    for ids in ([10, 11, 12], [3, 5, 6]):
-        index.flush(make(ids))
-    index.compact()
-    assert {(r["id"], r["keep_id"]) for r in index.lookup().collect()} == {(10, 5), (5, 5), (11, 6), (6, 6), (12, 12), (3, 3)}
-    assert sorted(r["id"] for r in index.unseen(make([20, 24, 29])).collect()) == [24, 29]
+def digest_rows(spark, ids):
+    return spark.createDataFrame([(i, f"{i % 5:02x}") for i in ids], "id long, h string").select("id", F.unhex("h").alias("digest"), F.col("id").alias("row"))
+
+
+def test_index_compacts_by_level_and_looks_up(spark):
+    index = exact_dedup.DigestIndex(spark, fanout=2)
+    for ids in ([10, 11, 12], [3, 5, 6], [1, 10]):
+        index.flush(digest_rows(spark, ids))
+    assert [len(level) for level in index.levels] == [1, 1] and all(r.bits for level in index.levels for r in level)
+    assert sorted(r["id"] for r in index.unseen(digest_rows(spark, [20, 24, 29, 22, 23])).collect()) == [24, 29]
+    found = {bytes(r["digest"])[0]: (r["keep_id"], r["keep_row"], r["n"]) for r in index.compact().collect()}
+    assert found == {0: (5, 5, 3), 1: (1, 1, 3), 2: (12, 12, 1), 3: (3, 3, 1)}
+
+
+def test_exact_dedup_goes_through_filters_and_runs(spark, odd_documents, odd_rows, monkeypatch):
+    """Without the lookup in other runs' filters, copies in different memtables would be missed."""
+    want = sorted((str(r["doc_id"]), r["group_size"]) for r in exact_dedup.exact_dedup(odd_documents).collect())
+    monkeypatch.setattr(exact_dedup.DigestIndex, "maybe_in", lambda self, df, run, name: df.withColumn(name, F.lit(False)))
+    got = sorted((str(r["doc_id"]), r["group_size"]) for r in exact_dedup.exact_dedup(odd_documents).collect())
+    assert got != want
+
+
+def test_line_dedup_anti_joins_its_runs(spark, monkeypatch):
+    calls = []
+    seen = line_dedup.LineRuns.seen
+    monkeypatch.setattr(line_dedup.LineRuns, "seen", lambda self, batch: calls.append(len(self._paths())) or seen(self, batch))
+    line = "a line of more than forty characters that all of them have in common"
+    df = spark.createDataFrame([(k, f"{line}\n{k}") for k in range(40)], "doc_id long, text string")
+    out = line_dedup.dedup_lines(df, batches=4)
+    assert calls == [0, 1, 1, 2] and out.where("n_dropped = 1").count() == 39
+
+
+def test_filters_are_sized_by_their_keys():
+    sizes = [filter_bits(n) for n in (0, 10, 1 << 16, 1 << 20, 1 << 26, (1 << 26) + 1)]
+    assert sizes == [1 << 20, 1 << 20, 1 << 20, 1 << 24, 1 << 30, None]
+
+
+def test_draws_are_exact_at_any_share(spark):
+    df = spark.range(300_000).select("id", (F.col("id") % 3).alias("g"))
+    one = sorted(r["id"] for r in drawn(df, 2, "id").collect())
+    assert len(one) == 2 and one == sorted(r["id"] for r in drawn(df.repartition(7), 2, "id").collect())
+    assert [r["count"] for r in drawn(df, 5, "id", by="g").groupBy("g").count().collect()] == [5, 5, 5]
+    same = spark.range(2000).select(F.lit(None).cast("long").alias("id"))  # repeats of one null id share a hash
+    assert drawn(same, 3, "id").count() == 3 and drawn(same.limit(0), 3, "id").count() == 0
+    assert drawn(df.where("id < 4"), 9, "id").count() == 4
 
 
 def brute_lines(rows, least=40, docs=5):
