@@ -37,9 +37,17 @@ def norm_table(spark: SparkSession, specs, fallback: NormStats = NormStats()) ->
     return spark.createDataFrame(rows, "ds_idx int, mean array<double>, std array<double>")
 
 
-def norm_lookup(samples: DataFrame, table: DataFrame) -> DataFrame:
-    """``samples`` with the mean and deviation of their dataset. The table has one row per dataset of the configuration."""
-    return samples.join(F.broadcast(table), "ds_idx", "left")
+def norm_lookup(samples: DataFrame, table: DataFrame, fallback: NormStats = NormStats()) -> DataFrame:
+    """``samples`` with the mean and deviation of their dataset; an index past the table takes its last row.
+
+    A null index, and any where the table is empty, takes ``fallback``. The table has one row per dataset of the configuration.
+    """
+    n = table.count()
+    at = F.when(F.col("ds_idx").isNotNull(), F.least(F.col("ds_idx"), F.lit(n - 1))) if n else F.lit(None).cast("int")
+    rows = table.select(F.col("ds_idx").alias("_at"), F.col("mean").alias("_mean"), F.col("std").alias("_std"))
+    found = samples.withColumn("_at", at).join(F.broadcast(rows), "_at", "left")
+    mean, std = ([F.lit(float(x)) for x in values] for values in fallback.scaled())
+    return found.withColumn("mean", F.coalesce("_mean", F.array(*mean))).withColumn("std", F.coalesce("_std", F.array(*std))).drop("_at", "_mean", "_std")
 
 
 def normalised_vector(values: Column, mean: Column, std: Column) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tessella.shipping import ship
-from tessella.sources.images import decode_png
+from tessella.sources.images import decode_image
 
 LUMA = np.array([0.299, 0.587, 0.114])
 VIEW_SCHEMA = "c int, h int, w int, data array<float>"
@@ -123,7 +123,7 @@ def map_views(df: DataFrame, keep: list[str], image_col: str, one: Callable) ->
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [_fields(one(decode_png(x), r)) for x, r in zip(f[image_col], f.drop(columns=image_col).itertuples(index=False))]
+            found = [_fields(one(decode_image(x), r)) for x, r in zip(f[image_col], f.drop(columns=image_col).itertuples(index=False))]
             out = f[keep].reset_index(drop=True)
             for k, name in enumerate(("c", "h", "w", "data")):
                 out[name] = [x[k] for x in found]
@@ -141,6 +141,35 @@ def augment_views(fanned: DataFrame, keep: list[str], mean, std, image_col: str
     return map_views(fanned, keep, image_col, one)
 
 
+def crop_box(height: int, width: int, p, ratio: tuple[float, float] = (3 / 4, 4 / 3)) -> tuple[int, int, int, int]:
+    """(top, left, height, width) of a crop from its uniforms: an area share and a log-uniform aspect, cut to the image."""
+    area = width * height * (p.scale_lo + p.area * (p.scale_hi - p.scale_lo))
+    aspect = np.exp(np.log(ratio[0]) + p.aspect * np.log(ratio[1] / ratio[0]))
+    w, h = max(1, min(width, int(np.sqrt(area * aspect) + 0.5))), max(1, min(height, int(np.sqrt(area / aspect) + 0.5)))
+    return int(p.y * (height - h + 1)), int(p.x * (width - w + 1)), h, w
+
+
+VIEWS_SCHEMA = "array<struct<name:string,c:int,h:int,w:int,data:array<float>>>"
+
+
+def sample_views(samples: DataFrame, keep: list[str], make: Callable, image_col: str = "image", most: int = 16) -> DataFrame:
+    """(keep..., views): ``make(image or None, row)`` gives a sample's views as (name, (C, H, W) array) in order.
+
+    An image is decoded once, whatever the number of views; ``most`` samples' views are held at a time.
+    """
+    ship(samples.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), most):
+                part = f.iloc[at : at + most]
+                found = [[{"name": n, "c": t.shape[0], "h": t.shape[1], "w": t.shape[2], "data": t.ravel()} for n, t in make(decode_image(x), r)] for x, r in zip(part[image_col], part.drop(columns=image_col).itertuples(index=False))]
+                yield part[keep].assign(views=found)
+
+    return samples.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"views {VIEWS_SCHEMA}"]))
+
+
 def eval_views(samples: DataFrame, keep: list[str], spec, image_col: str = "image", dtype: str = "fp32") -> DataFrame:
     """The deterministic view of each sample."""
 
@@ -160,7 +189,7 @@ def user_views(samples: DataFrame, key: str, spec, image_col: str = "image") ->
             if not len(f):
                 continue
             black = np.zeros((spec.decode_size, spec.decode_size, 3), np.uint8)
-            images = [img if (img := decode_png(x)) is not None else black for x in f[image_col]]
+            images = [img if (img := decode_image(x)) is not None else black for x in f[image_col]]
             batch = np.stack([centred(i, spec.decode_size, spec.decode_size, spec.mean, spec.std) for i in images])
             views = spec.fn(batch)
             if missing := [v for v in spec.views if v not in views]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.hashrand import uniform
-from tessella.operators.numbering import by_integer, by_positive, by_uniform, numbered
+from tessella.operators.numbering import numbered
 
 MODES = ("sequential", "shuffle", "epoch", "resampled")
 
@@ -38,7 +38,7 @@ def coverage(shards: DataFrame, dataset: str, world_size: int, few: int = 4) ->
 
 def permuted(df: DataFrame, seed: str, key: str, by: list[str], name: str = "pos") -> DataFrame:
     """A full random permutation within ``by``: each row once."""
-    return numbered(df.withColumn("_u", uniform(seed, key)), name, [F.col("_u"), F.col(key)], by_uniform("_u"), by).drop("_u")
+    return numbered(df.withColumn("_u", uniform(seed, key)), name, [F.col("_u"), F.col(key)], F.col("_u"), by).drop("_u")
 
 
 def race_time(weight: Column, u: Column) -> Column:
@@ -49,20 +49,20 @@ def race_time(weight: Column, u: Column) -> Column:
 def weighted_permutation(df: DataFrame, seed: str, key: str, weight: str, by: list[str], name: str = "pos") -> DataFrame:
     """A full permutation in which heavier rows tend to come first."""
     timed = df.withColumn("_t", race_time(F.col(weight), uniform(seed, key)))
-    return numbered(timed, name, [F.col("_t"), F.col(key)], by_positive("_t"), by).drop("_t")
+    return numbered(timed, name, [F.col("_t"), F.col(key)], F.col("_t"), by).drop("_t")
 
 
 def resampled(df: DataFrame, seed: str, key: str, by: str, draws: DataFrame) -> DataFrame:
     """Draws with replacement: ``draws`` (by, t) each take a row of their group, uniformly."""
-    pool = numbered(df, "_k", [F.col(key)], by_integer(key), [by])
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = draws.join(sizes, by).withColumn("_k", F.floor(uniform(seed, by, "t") * F.col("_n")) + 1)
+    pool = numbered(df, "_k", [F.col(key)], F.col(key), [by])
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))  # one row per dataset of the configuration
+    drawn = draws.join(F.broadcast(sizes), by).withColumn("_k", F.floor(uniform(seed, by, "t") * F.col("_n")) + 1)
     return drawn.join(pool, [by, "_k"]).drop("_n", "_k")
 
 
 def block_shuffled(df: DataFrame, seed: str, key: str, buffer: int, by: list[str], name: str = "pos") -> DataFrame:
     """Shuffle within consecutive blocks of ``buffer`` rows in key order: what a shuffle buffer of that depth can reach."""
-    placed = numbered(df, "_at", [F.col(key)], by_integer(key), by).withColumn("_block", F.floor((F.col("_at") - 1) / buffer)).withColumn("_u", uniform(seed, key))
+    placed = numbered(df, "_at", [F.col(key)], F.col(key), by).withColumn("_block", F.floor((F.col("_at") - 1) / buffer)).withColumn("_u", uniform(seed, key))
     inner = F.row_number().over(Window.partitionBy(*by, "_block").orderBy("_u", key))
     return placed.withColumn(name, F.col("_block") * buffer + inner).drop("_at", "_block", "_u")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.numbering import by_positive, numbered
+from tessella.operators.numbering import numbered
 
 
 def rates(log_table: DataFrame, by: str, ts: str, value: str, *ties: str) -> DataFrame:
@@ -26,11 +26,10 @@ def stale(log_table: DataFrame, by: str, ts: str, after_s: float) -> DataFrame:
 def timing(df: DataFrame, by: str, ms: str, tie: str) -> DataFrame:
     """Mean, sample deviation (0 for one row), median and p95 (the sorted value at index int(0.95 n), from 0).
 
-    The two order statistics come from numbering in value buckets, so that no group is gathered in one task.
+    The two order statistics come from numbering in buckets by quantiles, so that no group is gathered in one task.
     """
     sums = df.groupBy(by).agg(F.avg(ms).alias("mean_ms"), F.coalesce(F.stddev_samp(ms), F.lit(0.0)).alias("sd_ms"), F.count(F.lit(1)).alias("n"))
-    placed = df.select(by, ms, tie).withColumn("_v", F.greatest(F.col(ms).cast("double"), F.lit(0.0)))
-    ranked = numbered(placed, "_r", [F.col(ms), F.col(tie)], by_positive("_v"), [by]).join(sums.select(by, "n"), by)
+    ranked = numbered(df.select(by, ms, tie), "_r", [F.col(ms), F.col(tie)], F.col(ms), [by]).join(sums.select(by, "n"), by)
     low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
     picked = ranked.groupBy(by).agg(((F.max(F.when(F.col("_r") == low, F.col(ms))) + F.max(F.when(F.col("_r") == high, F.col(ms)))) / 2).alias("median_ms"), F.max(F.when(F.col("_r") == F.floor(F.col("n") * 0.95) + 1, F.col(ms))).alias("p95_ms"))
     return sums.join(picked, by)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,13 +20,13 @@ from pyspark.sql import functions as F
 from tessella.functions.display import format_bytes, progress_bar
 from tessella.functions.hashrand import seed_text, uniform, uniform_sql
 from tessella.operators import batching, masking, mixing, norm, pixels, predicates, sampling, stats, views
-from tessella.operators.numbering import by_integer, numbered
-from tessella.plans.pipeline import Pipeline
-from tessella.plans.specs import ContextTargetsSpec, DatasetSpec, EvalSpec, MultiCropConfig, UserSpec
+from tessella.operators.numbering import numbered
+from tessella.plans.pipeline import Pipeline, SampleLoader
+from tessella.plans.specs import ContextTargetsSpec, DatasetSpec, EvalSpec, LoaderState, MultiCropConfig, MultiCropSpec, UserSpec
 from tessella.plans.weights import MixingWeights
 from tessella.shipping import ship
 from tessella.sources import catalog, checkpoint, tar
-from tessella.sources.images import encode_png
+from tessella.sources.images import decode_image, encode_png
 from tessella.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,10 +76,10 @@ DS_SQL = "CASE lang " + " ".join(f"WHEN '{lang}' THEN {i}" for i, lang in enumer
 NAMES_SQL = "(VALUES " + ", ".join(f"({i}, '{lang}')" for i, lang in enumerate(LANGS)) + ") AS names(ds_idx, name)"
 
 
-def cut_sql(u: str, weights: MixingWeights) -> str:
-    """The dataset index of a uniform, in SQL."""
-    ends = [hi for _, hi in weights.intervals()]
-    return "CASE " + " ".join(f"WHEN {u} < {hi!r}::DOUBLE THEN {i}" for i, hi in enumerate(ends[:-1])) + f" ELSE {len(ends) - 1} END"
+def cut_sql(u: str, later: bool = False) -> str:
+    """The dataset index of a uniform, in SQL: the ends of the intervals are written out here."""
+    a, b, c = ("0.4", "0.5", "0.9") if later else ("0.2", "0.7", "0.8")
+    return f"CASE WHEN {u} < {a}::DOUBLE THEN 0 WHEN {u} < {b}::DOUBLE THEN 1 WHEN {u} < {c}::DOUBLE THEN 2 ELSE 3 END"
 
 
 def with_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +171,7 @@ RESAMPLE = seed_text("resample")
 def resampled_draws(spark, sf_dir):
     """As many draws with replacement per dataset as it has samples."""
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id")
-    plan = numbered(docs, "t", [F.col("doc_id")], by_integer("doc_id"), ["lang"]).select("lang", (F.col("t") - 1).alias("t"))
+    plan = numbered(docs, "t", [F.col("doc_id")], F.col("doc_id"), ["lang"]).select("lang", (F.col("t") - 1).alias("t"))
     return sampling.resampled(docs, RESAMPLE, "doc_id", "lang", plan).select("lang", "t", "doc_id")
 
 
@@ -208,9 +209,11 @@ def weights_normalise(spark, sf_dir):
     return sizes.select("name", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("weight"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {w!r}::DOUBLE, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for i, (n, w, (lo, hi)) in enumerate(zip(LANGS, WEIGHTS.with_weight("fr", 3.0).weights, WEIGHTS.with_weight("fr", 3.0).intervals()))) + ") AS t(ds_idx, name, weight, lo, hi)")
+@query("""SELECT ds_idx, name, round(raw / 3.8, 9) AS weight, round(lo / 3.8, 9) AS lo, round((lo + raw) / 3.8, 9) AS hi
+          FROM (VALUES (0, 'de', 0.2::DOUBLE, 0.0::DOUBLE), (1, 'en', 0.5, 0.2), (2, 'es', 0.1, 0.7), (3, 'fr', 3.0, 0.8)) AS t(ds_idx, name, raw, lo)""")
 def weights_set_by_name(spark, sf_dir):
-    return WEIGHTS.with_weight("fr", 3.0).table(spark)
+    """One entry of the vector 0.2, 0.5, 0.1, 0.2 becomes 3, and the sum 3.8."""
+    return WEIGHTS.with_weight("fr", 3.0).table(spark).select("ds_idx", "name", *[F.round(c, 9).alias(c) for c in ("weight", "lo", "hi")])
 
 
 MIX, POOL = seed_text("mix"), seed_text("pool")
@@ -218,9 +221,9 @@ POOL_SQL = f"SELECT doc_id, {DS_SQL} AS ds_idx, row_number() OVER (PARTITION BY
 GOOD_SQL = f"SELECT doc_id, {DS_SQL} AS ds_idx, row_number() OVER (PARTITION BY lang ORDER BY {uniform_sql(POOL, 'doc_id')}, doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality >= 1"
 
 
-def plan_sql(weights: MixingWeights = WEIGHTS, later: MixingWeights | None = None, source: str = "documents") -> str:
+def plan_sql(later: bool = False, source: str = "documents") -> str:
     u = uniform_sql(MIX, "t")
-    pick = cut_sql(u, weights) if later is None else f"CASE WHEN t >= {SWITCH_AT} THEN {cut_sql(u, later)} ELSE {cut_sql(u, weights)} END"
+    pick = f"CASE WHEN t >= {SWITCH_AT} THEN {cut_sql(u, True)} ELSE {cut_sql(u)} END" if later else cut_sql(u)
     return f"SELECT *, row_number() OVER (PARTITION BY ds_idx ORDER BY t) AS j FROM (SELECT t, {pick} AS ds_idx FROM (SELECT unnest(range((SELECT count(*) FROM {source}))) AS t))"
 
 
@@ -262,7 +265,7 @@ def mix_provenance(spark, sf_dir):
     return batching.with_batch(plan(spark, sf_dir), "t", BATCH).groupBy("batch_id", "ds_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH d AS ({plan_sql(later=LATER)}), p AS ({POOL_SQL}), m AS ({CYCLIC_SQL}) SELECT t, ds_idx, doc_id FROM m")
+@query(f"WITH d AS ({plan_sql(later=True)}), p AS ({POOL_SQL}), m AS ({CYCLIC_SQL}) SELECT t, ds_idx, doc_id FROM m")
 def mix_curriculum(spark, sf_dir):
     """Other weights from a draw on."""
     mixed = mixing.mix_cyclic(plan(spark, sf_dir, schedule=[(SWITCH_AT, LATER)]), pool(spark, sf_dir))
@@ -281,26 +284,32 @@ def mix_restart(spark, sf_dir):
 SPECS = [DatasetSpec("de", mean=(0.5, 0.5, 0.5)), DatasetSpec("en"), DatasetSpec("es", std=(0.2, 0.25, 0.3)), DatasetSpec("fr", mean=(0.4, 0.4, 0.4), std=(0.25, 0.25, 0.25))]
 
 
-def _norm_rows() -> list[tuple[int, list[float], list[float]]]:
-    return [(i, *norm.NormStats.or_else(s.mean, s.std, norm.NormStats()).scaled()) for i, s in enumerate(SPECS)]
+#: 255 times the channel statistics of SPECS, worked out by hand.
+NORM_SQL = """(SELECT ds_idx, mean::DOUBLE[] AS mean, std::DOUBLE[] AS std FROM (VALUES (0, [127.5, 127.5, 127.5], [58.395, 57.12, 57.375]), (1, [123.675, 116.28, 103.53], [58.395, 57.12, 57.375]),
+    (2, [123.675, 116.28, 103.53], [51.0, 63.75, 76.5]), (3, [102.0, 102.0, 102.0], [63.75, 63.75, 63.75])) AS v(ds_idx, mean, std)) AS norm"""
 
 
-def _list_sql(values) -> str:
-    return "[" + ", ".join(f"{v!r}::DOUBLE" for v in values) + "]"
-
-
-NORM_SQL = "(VALUES " + ", ".join(f"({i}, {_list_sql(m)}, {_list_sql(s)})" for i, m, s in _norm_rows()) + ") AS norm(ds_idx, mean, std)"
+def rounded_stats(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, *[F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("mean", "std")])
 
 
 @query(f"SELECT * FROM {NORM_SQL}")
 def norm_table(spark, sf_dir):
-    return norm.norm_table(spark, SPECS)
+    return rounded_stats(norm.norm_table(spark, SPECS), "ds_idx")
 
 
 @query(f"SELECT doc_id, d.ds_idx, mean, std FROM (SELECT doc_id, {DS_SQL} AS ds_idx FROM documents) d LEFT JOIN {NORM_SQL} ON norm.ds_idx = d.ds_idx")
 def norm_lookup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", ds_index().alias("ds_idx"))
-    return norm.norm_lookup(docs, norm.norm_table(spark, SPECS)).select("doc_id", "ds_idx", "mean", "std")
+    return rounded_stats(norm.norm_lookup(docs, norm.norm_table(spark, SPECS)), "doc_id", "ds_idx")
+
+
+@query(f"""SELECT doc_id, d.ds_idx, coalesce(mean, [123.675, 116.28, 103.53]::DOUBLE[]) AS mean, coalesce(std, [58.395, 57.12, 57.375]::DOUBLE[]) AS std
+           FROM (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN (doc_id % 6)::INT END AS ds_idx FROM documents) d LEFT JOIN {NORM_SQL} ON norm.ds_idx = least(d.ds_idx, 3) AND d.ds_idx IS NOT NULL""")
+def norm_clamped(spark, sf_dir):
+    """Indices past the table of four take its last row, null indices the fallback."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 > 0, (F.col("doc_id") % 6).cast("int")).alias("ds_idx"))
+    return rounded_stats(norm.norm_lookup(docs, norm.norm_table(spark, SPECS)), "doc_id", "ds_idx")
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE) AS data FROM embeddings")
@@ -308,11 +317,12 @@ def normalise_vector(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", norm.normalised_vector(F.col("embedding"), F.lit(0.485), F.lit(0.229)).alias("data"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x::DOUBLE >= 0 THEN -x::DOUBLE ELSE x::DOUBLE END) AS data FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x::DOUBLE * 32 + 128 >= 128 THEN 255 - (x::DOUBLE * 32 + 128) ELSE x::DOUBLE * 32 + 128 END) AS data FROM embeddings")
 def solarize_vector(spark, sf_dir):
-    """Values from a threshold on are turned over (here around 0, for values around 0)."""
-    data = F.transform("embedding", lambda x: F.when(x.cast("double") >= 0.0, -x.cast("double")).otherwise(x.cast("double")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", data.alias("data"))
+    """Samples of 128 and more are turned over, by the operator on pixels itself."""
+    turned = F.pandas_udf(lambda s: s.map(lambda e: pixels.solarized(np.asarray(e, float) * 32 + 128)), "array<double>")
+    ship(spark)
+    return table(spark, sf_dir, "embeddings").select("vec_id", turned("embedding").alias("data"))
 
 
 @query("SELECT vec_id, flatten(list_transform(range(8), lambda y: list_reverse(embedding[y * 8 + 1 : y * 8 + 8]))) AS data FROM embeddings")
@@ -352,8 +362,6 @@ def view_split(spark, sf_dir):
           ('user', ['a', 'b', 'c'], 1, false)) AS s(kind, names, n_first, masks), unnest(range(1, len(names) + 1)) AS u(i)""")
 def view_names(spark, sf_dir):
     """The views that each augmentation kind declares, and to which part of a split they belong."""
-    from tessella.plans.specs import MultiCropSpec
-
     kinds = {"context": ContextTargetsSpec(), "eval": EvalSpec(), "multicrop": MultiCropSpec(), "user": UserSpec(fn=lambda b: {}, views=("a", "b", "c"))}
     rows = [(k, i, n, i < s.n_first, s.supports_masking) for k, s in kinds.items() for i, n in enumerate(s.view_names())]
     return spark.createDataFrame(rows, "kind string, view int, name string, first boolean, masks boolean")
@@ -417,7 +425,7 @@ def line_stream(spark, sf_dir):
     """lineitem as a long numbered stream."""
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
     order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
-    return numbered(df, "pos", order, by_integer("l_orderkey", 256)).withColumn("pos", F.col("pos") - 1)
+    return numbered(df, "pos", order, F.col("l_orderkey")).withColumn("pos", F.col("pos") - 1)
 
 
 @query(f"SELECT pos // {BATCH} AS batch_id, count(*) AS n, sum(l_quantity) AS quantity, min(l_orderkey) AS first_key FROM ({LINES_SQL}) GROUP BY 1 HAVING count(*) = {BATCH}")
@@ -617,11 +625,13 @@ def trace_events(spark, sf_dir):
     return stats.trace_events(events, F.col("event_type"), F.lit("event"), F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id") % 1000, F.col("user_id"), F.lit(0), "event_id")
 
 
-@query("SELECT source AS path, 8 * count(*) // 8 AS n FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
 def index_item_counts(spark, sf_dir):
-    """Items of an index of 8-byte offsets, from its size alone."""
-    sizes = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("path")).agg((F.count(F.lit(1)) * 8).alias("length"))
-    return sizes.select("path", F.floor(F.col("length") / 8).alias("n"))
+    """An index file of 8-byte offsets is written per shard; its items are counted by its size alone."""
+    folder = f"{scratch_folder(spark)}/index-{uuid.uuid4().hex}"
+    for r in table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per shard
+        tar.write_index(spark, f"{folder}/{r['source']}.idx", range(0, 512 * r["n"], 512))
+    return tar.index_counts(spark, f"{folder}/*.idx").select(F.regexp_extract("path", r"([^/]+)\.idx$", 1).alias("source"), "n")
 
 
 @query("SELECT user_id, count(*) AS batches, sum(value) AS busy_ms, max(ts) AS heartbeat FROM events GROUP BY user_id")
@@ -636,15 +646,20 @@ def synthetic_source(spark, sf_dir):
     return spark.range(1000).select((F.col("id") % 64).alias("pool_idx")).groupBy("pool_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def scratch_folder(spark) -> str:
+    """The folder that driver and executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events
+          WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
 def stream_windows(spark, sf_dir):
-    """Structured Streaming over the events: windows of a day, with a watermark."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    found = windows.run_available(spark, f"{sf_dir}/events.parquet", folder)
+    """Structured Streaming over the events: windows of a day that the watermark has closed."""
+    found = windows.run_available(spark, f"{sf_dir}/events.parquet", scratch_folder(spark))
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-# --- archives, pixels, masks: without SQL twins, held against plain versions by tests ---------------------------------
+# --- archives, pixels, masks; those without SQL twins are held against plain versions by tests ---------------------------------
 
 
 def images(spark, sf_dir):
@@ -659,12 +674,32 @@ def images(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").mapInPandas(draw, "vec_id long, label int, image binary, width int, height int")
 
 
-@query()
-def tar_scan(spark, sf_dir):
-    """Images packed into shards of 100 with sidecars for every third, and read again."""
+GRAY_SQL = "list_sum(list_transform(embedding[1:64], lambda x: trunc(greatest(0.0::DOUBLE, least(255.0::DOUBLE, x::DOUBLE * 32 + 128)))))::BIGINT"
+TAR_SQL = f"""SELECT (vec_id // 100)::VARCHAR AS shard_path, vec_id::VARCHAR AS key, {GRAY_SQL} AS gray,
+              CASE WHEN vec_id % 3 = 0 THEN '{{"quality_score":' || label || '}}' END AS meta FROM embeddings"""
+
+
+def gray_sum(image: str):
+    return F.pandas_udf(lambda s: s.map(lambda data: int(decode_image(data)[:, :, 0].astype(int).sum())), "long")(image)
+
+
+def packed(spark, sf_dir) -> DataFrame:
+    """Images packed into shards of 100 with sidecars for every third."""
     rows = images(spark, sf_dir).withColumn("meta", F.when(F.col("vec_id") % 3 == 0, F.to_json(F.struct(F.col("label").alias("quality_score")))))
-    packed = tar.pack_shards(rows.withColumn("shard", F.floor(F.col("vec_id") / 100)), "shard", "vec_id", "image", "meta")
-    return tar.extract(packed).select("shard_path", "key", "pos", F.md5("image").alias("image_md5"), "meta", "error")
+    return tar.pack_shards(rows.withColumn("shard", F.floor(F.col("vec_id") / 100)), "shard", "vec_id", "image", "meta")
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY shard_path ORDER BY key) - 1 AS pos, NULL::VARCHAR AS error FROM ({TAR_SQL})")
+def tar_scan(spark, sf_dir):
+    """Shards read again: keys in archive order, the sum of each decoded image's samples, sidecars."""
+    return tar.extract(packed(spark, sf_dir)).select("shard_path", "key", "pos", gray_sum("image").alias("gray"), "meta", "error")
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY shard_path ORDER BY key) - 1 AS pos FROM ({TAR_SQL}) WHERE meta IS NOT NULL")
+def tar_scan_required(spark, sf_dir):
+    """The archive-stream rule: samples without a sidecar, or whose image can't be decoded, are left out."""
+    found = tar.extract(packed(spark, sf_dir), require_json=True, decodable=True)
+    return found.select("shard_path", "key", "pos", gray_sum("image").alias("gray"), "meta")
 
 
 @query()
@@ -674,8 +709,13 @@ def augment_multicrop(spark, sf_dir):
     return pixels.augment_views(drawn, ["vec_id", "view", "name"], SMALL_CROPS.mean, SMALL_CROPS.std)
 
 
-@query()
+PIXEL_SQL = "trunc(greatest(0.0::DOUBLE, least(255.0::DOUBLE, embedding[(y * 8 + x + 1)::INT]::DOUBLE * 32 + 128)))"
+
+
+@query(f"""SELECT vec_id, 3 AS c, 7 AS h, 7 AS w, flatten(list_transform([[0.485, 0.229], [0.456, 0.224], [0.406, 0.225]]::DOUBLE[][], lambda s: flatten(list_transform(range(7), lambda y:
+           list_transform(range(7), lambda x: (({PIXEL_SQL} / 255 - s[1]) / s[2])::FLOAT))))) AS data FROM embeddings""")
 def augment_eval(spark, sf_dir):
+    """An 8 x 8 image keeps its size; its central 7 x 7 square starts at its corner."""
     return pixels.eval_views(images(spark, sf_dir), ["vec_id"], EvalSpec(crop_size=7))
 
 
@@ -684,8 +724,7 @@ def augment_context_targets(spark, sf_dir):
     """A context with light augmentation, targets with crops alone."""
     spec = ContextTargetsSpec(context_crop_size=8, target_crop_size=4)
     none = MultiCropConfig(flip_prob=0.5, color_jitter_prob=0.8, grayscale_prob=0.0)
-    rows = [(i, n, "global" if i == 0 else "local", 8 if i == 0 else 4, *map(float, spec.context_scale if i == 0 else spec.target_scale), 0.0, 0.0) for i, n in enumerate(spec.view_names())]
-    fanned = views.fan_out(images(spark, sf_dir), spark.createDataFrame(rows, views.VIEW_SCHEMA))
+    fanned = views.fan_out(images(spark, sf_dir), spark.createDataFrame(views.context_rows(spec), views.VIEW_SCHEMA))
     drawn = views.with_parameters(views.random_crop(fanned, "width", "height", "context", "vec_id", "view"), none, "context", "vec_id", "view")
     first = F.col("view") == 0
     drawn = drawn.withColumn("flip", F.col("flip") & first).withColumn("jitter", F.col("jitter") & first)
@@ -703,9 +742,58 @@ def user_aug(spark, sf_dir):
     return pixels.user_views(images(spark, sf_dir), "vec_id", UserSpec(fn=halves, views=("upper", "lower"), decode_size=8))
 
 
-@query()
+@query(f"SELECT vec_id, vec_id // {BATCH} AS batch_id, 196 AS n_patches, 75 AS n_masked, 1::BIGINT AS masks_in_batch FROM embeddings")
 def block_masks(spark, sf_dir):
-    """One mask per batch of images, attached to its samples."""
+    """One mask per batch of images, attached to its samples: its size, and how many different masks a batch has."""
     batches = batching.with_batch(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", BATCH).select("vec_id", "batch_id")
     masks = masking.with_masks(batches, "batch_id", masking.BlockMasks(14, 14, 75), "masks")
-    return batches.join(masks, "batch_id").select("vec_id", "batch_id", "mask")
+    held = batches.join(masks, "batch_id").select("vec_id", "batch_id", "mask")
+    per_batch = held.groupBy("batch_id").agg(F.count_distinct("mask").alias("masks_in_batch"))
+    return held.join(per_batch, "batch_id").select("vec_id", "batch_id", F.size("mask").alias("n_patches"), F.size(F.filter("mask", lambda m: m)).alias("n_masked"), "masks_in_batch")
+
+
+# --- the loader -------------------------------------------------------------------------------------------------------
+
+EPOCH = 3
+
+
+def loader_sql(epoch: int) -> str:
+    """Batches of one epoch over the images, with four datasets by number: draws, pools and batches in SQL."""
+    pool, mix = seed_text("pool", epoch=epoch), seed_text("mix", epoch=epoch)
+    return f"""WITH s AS (SELECT vec_id, (vec_id % 4)::INT AS ds_idx, vec_id::VARCHAR AS key FROM embeddings),
+        p AS (SELECT ds_idx, key, row_number() OVER (PARTITION BY ds_idx ORDER BY {uniform_sql(pool, 'ds_idx', 'key')}, key) AS k, count(*) OVER (PARTITION BY ds_idx) AS n FROM s),
+        d AS (SELECT t, {cut_sql('u')} AS ds_idx FROM (SELECT t, {uniform_sql(mix, 't')} AS u FROM (SELECT unnest(range((SELECT count(*) // 16 * 16 FROM s))) AS t))),
+        j AS (SELECT *, row_number() OVER (PARTITION BY ds_idx ORDER BY t) AS j FROM d)
+        SELECT j.t // 16 AS batch_id, j.t % 16 AS slot, j.ds_idx, p.key FROM j JOIN p ON p.ds_idx = j.ds_idx AND p.k = (j.j - 1) % p.n + 1"""
+
+
+def loader(spark, sf_dir, **options) -> SampleLoader:
+    samples = images(spark, sf_dir).select((F.col("vec_id") % 4).cast("int").alias("ds_idx"), F.col("vec_id").cast("string").alias("key"), F.lit(None).cast("string").alias("meta"), "image")
+    specs = [DatasetSpec(n, weight=w) for n, w in zip(LANGS, (0.2, 0.5, 0.1, 0.2))]
+    return SampleLoader(spark, samples, specs, 16, aug=MultiCropSpec(SMALL_CROPS), rank=0, world_size=1, **options)
+
+
+@query(f"SELECT *, 2 AS n_first, 4 AS n_rest, ['view_0', 'view_1'] AS names, 3 * 8 * 8 AS first_size, 3 * 4 * 4 AS rest_size, 20 AS n_masked FROM ({loader_sql(0)})")
+def loader_batches(spark, sf_dir):
+    """The whole loader: filtered pools, weighted draws, batches, views by the specification's type, split, masks."""
+    rows = loader(spark, sf_dir).batches(masking.BlockMasks(8, 8, 20))
+    names = F.transform("first", lambda v: v["name"])
+    sizes = [F.size(F.col(c)[0]["data"]).alias(f"{c}_size") for c in ("first", "rest")]
+    return rows.select("batch_id", "slot", "ds_idx", "key", F.size("first").alias("n_first"), F.size("rest").alias("n_rest"), names.alias("names"), *sizes, F.size(F.filter("mask", lambda m: m)).alias("n_masked"))
+
+
+@query(loader_sql(EPOCH))
+def loader_second_epoch(spark, sf_dir):
+    """After a resumed epoch the next one is whole."""
+    found = loader(spark, sf_dir)
+    found.load_state(LoaderState(step=5, epoch=1, dataset_names=list(LANGS), mixing_weights=[0.2, 0.5, 0.1, 0.2], global_crop_size=8, local_crop_size=4))
+    found.set_epoch(EPOCH)
+    return found.pipeline().dataframe().select("batch_id", "slot", "ds_idx", "key")
+
+
+@query(f"SELECT * FROM ({loader_sql(EPOCH)}) WHERE batch_id > 5")
+def loader_resumed(spark, sf_dir):
+    """What is left of an epoch after its step 5."""
+    found = loader(spark, sf_dir)
+    found.load_state(LoaderState(step=5, epoch=EPOCH, dataset_names=list(LANGS), mixing_weights=[0.2, 0.5, 0.1, 0.2], global_crop_size=8, local_crop_size=4))
+    return found.pipeline().dataframe().select("batch_id", "slot", "ds_idx", "key")

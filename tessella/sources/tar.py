@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.shipping import ship
+from tessella.sources.images import decode_image
 
 IMAGE_TYPES = ("jpg", "jpeg", "png")
 SAMPLE_SCHEMA = "shard_path string, key string, pos long, image binary, meta string, error string"
@@ -39,8 +41,11 @@ def samples_of(archive: bytes, types: tuple[str, ...] = IMAGE_TYPES, with_image:
         yield key, image, meta
 
 
-def extract(archives: DataFrame, path_col: str = "path", content_col: str = "content", types: tuple[str, ...] = IMAGE_TYPES, require_json: bool = False, with_image: bool = True, on_error: str = "skip") -> DataFrame:
-    """One row per sample. A broken archive gives the samples before the break, then a row with ``error`` (or fails)."""
+def extract(archives: DataFrame, path_col: str = "path", content_col: str = "content", types: tuple[str, ...] = IMAGE_TYPES, require_json: bool = False, with_image: bool = True, on_error: str = "skip", decodable: bool = False) -> DataFrame:
+    """One row per sample. A broken archive gives the samples before the break, then a row with ``error`` (or fails).
+
+    ``require_json``: samples without a sidecar are left out; ``decodable``: so are those whose image can't be decoded.
+    """
     ship(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +56,7 @@ def extract(archives: DataFrame, path_col: str = "path", content_col: str = "con
                 rows, pos = [], 0
                 try:
                     for key, image, meta in samples_of(content.as_py() or b"", types, with_image):
-                        if meta is not None or not require_json:
+                        if (meta is not None or not require_json) and (not decodable or decode_image(image) is not None):
                             rows.append((path, key, pos, image if with_image else None, meta, None))
                             pos += 1
                         if len(rows) >= 1000:
@@ -91,6 +96,16 @@ def pack_shards(samples: DataFrame, shard_col: str, key: str, image: str, meta:
     return rows.groupBy("shard").applyInPandas(build, "path string, content binary")
 
 
+def write_index(spark: SparkSession, path: str, offsets: Iterable[int]) -> None:
+    """An index file: one little-endian 8-byte offset per sample, through Hadoop's file system API."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(np.fromiter(offsets, "<i8").tobytes()))
+    finally:
+        out.close()
+
+
 def index_counts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, n): samples per index file of 8-byte offsets; contents are not read."""
     return spark.read.format("binaryFile").load(paths).select("path", F.floor(F.col("length") / 8).alias("n"))

@@ -8,9 +8,9 @@ from hypothesis import strategies as st
 
 from tessella import queries as core
 from tessella.operators import masking, pixels
-from tessella.plans.specs import UserSpec
+from tessella.plans.specs import EvalSpec, UserSpec
 from tessella.sources import tar
-from tessella.sources.images import decode_png, encode_png
+from tessella.sources.images import decode_image, decode_png, encode_png
 from tests.conftest import DATA
 
 
@@ -86,12 +86,6 @@ def test_tar_pairs_sidecars(spark, tmp_path):
     assert tar.index_counts(spark, f"file://{tmp_path}/*.idx").first()["n"] == 3
 
 
-def test_tar_scan_query(spark):
-    rows = core.queries()["tar_scan"](spark, f"{DATA}/sf0.001").collect()
-    assert len(rows) == core.table(spark, f"{DATA}/sf0.001", "embeddings").count()
-    assert all((r["meta"] is not None) == (int(r["key"]) % 3 == 0) and r["error"] is None for r in rows)
-
-
 @pytest.mark.parametrize("name, views", [("augment_multicrop", 6), ("augment_context_targets", 5), ("augment_eval", 1), ("user_aug", 2)])
 def test_augmentations(spark, name, views):
     df = core.queries()[name](spark, f"{DATA}/sf0.001")
@@ -111,9 +105,53 @@ def test_undecodable_becomes_zeros(spark):
         pixels.user_views(df, "k", bad).collect()
 
 
-def test_block_masks_query(spark):
-    rows = core.queries()["block_masks"](spark, f"{DATA}/sf0.001").collect()
-    assert all(sum(r["mask"]) == 75 for r in rows)
-    by = {}
-    for r in rows:
-        assert by.setdefault(r["batch_id"], r["mask"]) == r["mask"]
+def jvm_jpeg(spark, img, progressive=False, quality=0.9):
+    """A JPEG written by the JVM's own writer (4:2:0 for colours), and the pixels that its reader gives."""
+    jvm = spark.sparkContext._jvm
+    h, w = img.shape[:2]
+    gray = img.ndim == 2
+    picture = jvm.java.awt.image.BufferedImage(w, h, 10 if gray else 1)
+    for y in range(h):
+        for x in range(w):
+            r, g, b = (int(img[y, x]),) * 3 if gray else map(int, img[y, x])
+            if gray:
+                picture.getRaster().setSample(x, y, 0, r)
+            else:
+                picture.setRGB(x, y, r << 16 | g << 8 | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    param.setCompressionMode(2)
+    param.setCompressionQuality(quality)
+    param.setProgressiveMode(1 if progressive else 0)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(picture, None, None), param)
+    stream.close()
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    pixels_ = [[back.getRaster().getSample(x, y, 0) if gray else back.getRGB(x, y) for x in range(w)] for y in range(h)]
+    a = np.array(pixels_, np.int64)
+    return data, np.repeat(a[:, :, None], 3, axis=2) if gray else np.stack([a >> 16 & 255, a >> 8 & 255, a & 255], axis=2)
+
+
+@pytest.mark.parametrize("progressive", [False, True])
+def test_jpeg_equals_the_jvms_decoder(spark, progressive):
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[:21, :35]
+    smooth = np.stack([6 * x, 8 * y, 255 - 3 * x - 3 * y], axis=2).clip(0, 255)
+    for img in (smooth, np.full((8, 8, 3), 90), smooth[:, :, 0], (smooth[:, :, 1] + rng.integers(0, 40, (21, 35))).clip(0, 255)):
+        data, want = jvm_jpeg(spark, img, progressive)
+        got = decode_image(data)
+        assert got.shape == want.shape
+        off = np.abs(got.astype(int) - want)
+        assert off.max() <= (2 if img.ndim == 2 else 40) and off.mean() < (0.5 if img.ndim == 2 else 4)  # chroma is enlarged in another way
+
+
+def test_jpeg_rejects(spark):
+    data, _ = jvm_jpeg(spark, np.arange(256).reshape(16, 16))
+    assert decode_image(b"\xff\xd8" + bytes(256) + b"\xff\xd9") is None and decode_image(data[:100]) is None and decode_image(None) is None
+    assert decode_image(data[:-30]) is None  # a truncated file counts as undecodable
+    rows = spark.createDataFrame([("a", archive([("k.jpg", data), ("l.jpg", b"\xff\xd8no")]))], "path string, content binary")
+    views = {r["key"]: r for r in pixels.eval_views(tar.extract(rows), ["key"], EvalSpec(crop_size=7)).collect()}
+    assert any(views["k"]["data"]) and not any(views["l"]["data"])

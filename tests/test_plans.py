@@ -1,13 +1,21 @@
+import time
+from datetime import datetime
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessella.functions.telemetry import MetricsSink, StageTimer, span_table
 from tessella.operators import mixing, sampling
+from tessella.operators.numbering import bucket_of, numbered, quantiles
+from tessella.plans.environment import Consumer
 from tessella.plans.pipeline import Pipeline, SampleLoader
 from tessella.plans.specs import ContextTargetsSpec, DatasetSpec, EvalSpec, LoaderConfig, LoaderState, MultiCropConfig, MultiCropSpec, UserSpec
 from tessella.plans.weights import MixingWeights
+from tessella.sources import cli, tar
 from tessella.sources.checkpoint import Checkpointer, envelope, parse
+from tessella.streaming import windows
 
 
 @given(st.lists(st.floats(0, 1e6), min_size=1, max_size=8).filter(lambda w: sum(w) > 1e-3))
@@ -133,6 +141,125 @@ def test_loader_plans_and_resumes(spark, tmp_path):
         SampleLoader(spark, samples(spark), specs, 4, predicate=F.col("ds_idx") == 0).pipeline()
 
 
+def test_a_later_epoch_is_whole_and_states_round_trip(spark, caplog, monkeypatch):
+    specs = [DatasetSpec("a"), DatasetSpec("b")]
+    loader = SampleLoader(spark, samples(spark), specs, 4)
+    whole = {r["batch_id"] for r in loader.pipeline().dataframe().collect()}
+    loader.load_state(LoaderState(step=5, dataset_names=["a", "b"], mixing_weights=[0.5, 0.5]))
+    pipe = loader.pipeline()
+    assert {r["batch_id"] for r in pipe.dataframe().collect()} == {b for b in whole if b > 5} and len(pipe) == 4
+    loader.set_epoch(0)
+    assert loader.step == 5  # the same epoch goes on
+    loader.set_epoch(1)
+    assert {r["batch_id"] for r in loader.pipeline().dataframe().collect()} == whole
+    assert loader.state().step == -1 and SampleLoader(spark, samples(spark), specs, 4).step is None
+    state = loader.pipeline().with_epoch(3).state()
+    other = SampleLoader(spark, samples(spark), specs, 4).pipeline().select(F.col("slot") == 0, "first").with_state(state)
+    assert len(other) == 3 and other.loader.epoch == 1 and sorted(r["batch_id"] for r in other.dataframe().collect()) == [0, 1, 2]
+    loader.load_state(LoaderState(epoch=7, dataset_names=["x", "b"], mixing_weights=[0.9, 0.1]))
+    assert loader.epoch == 7 and loader.weights.weights == (0.5, 0.5) and "not restored" in caplog.text
+    big = SampleLoader(spark, samples(spark), specs, 4, aug=MultiCropSpec(MultiCropConfig(resolution_schedule=[(0, 98), (2, 448)])))
+    with pytest.raises(ValueError):
+        big.set_epoch(2)
+
+
+def test_one_iteration_at_a_time_and_empty_epochs(spark, monkeypatch):
+    loader = SampleLoader(spark, samples(spark), [DatasetSpec("a"), DatasetSpec("b")], 4)
+    batches = iter(loader)
+    with pytest.raises(RuntimeError):
+        iter(loader)
+    assert [len(b) for b in batches] == [4] * 10
+    assert len(next(iter(loader))) == 4
+    none = lambda **c: SampleLoader(spark, samples(spark), [DatasetSpec("a"), DatasetSpec("b")], 4, LoaderConfig(**c), predicate=F.lit(False))
+    with pytest.raises(RuntimeError, match="no batch"):
+        none().pipeline()
+    assert none(stall_timeout_s=0).pipeline().dataframe().isEmpty()
+    monkeypatch.setenv("TESSELLA_ALLOW_EMPTY_EPOCH", "1")
+    assert len(none().pipeline()) == 0
+    left = SampleLoader(spark, samples(spark), [DatasetSpec("a"), DatasetSpec("b")], 4, predicate=F.col("ds_idx") == 1, drop_empty=True)
+    assert {r["ds_idx"] for r in left.pipeline().dataframe().collect()} == {1}
+
+
+def test_pools_follow_the_sampling_of_their_dataset(spark, tmp_path):
+    rows = samples(spark)
+    order = lambda spec, **c: [r["key"] for r in SampleLoader(spark, rows, [spec, DatasetSpec("b")], 4, LoaderConfig(**c)).pool().where("ds_idx = 0").orderBy("k").collect()]
+    keys = [f"k{i}" for i in range(0, 40, 2)]
+    assert order(DatasetSpec("a", shard_sampling="sequential")) == sorted(keys, key=lambda k: (int(k[1:]) % 5, k))
+    permuted, mixed, drawn = order(DatasetSpec("a")), order(DatasetSpec("a", shard_sampling="shuffle"), shuffle_buffer_size=4), order(DatasetSpec("a", shard_sampling="resampled"))
+    assert sorted(permuted) == sorted(mixed) == sorted(keys) and [sorted(mixed[i : i + 4]) for i in range(0, 20, 4)] == [sorted(permuted[i : i + 4]) for i in range(0, 20, 4)]
+    assert len(drawn) == 20 and set(drawn) < set(keys)
+    scored = order(DatasetSpec("a", tuple("vwxyz"), shard_quality_scores=(1, 0, 1, 1, 1)))
+    assert {k for k in scored[-4:]} == {"k6", "k16", "k26", "k36"}  # shard 1 has score 0
+    log = SampleLoader(spark, rows, [DatasetSpec("a"), DatasetSpec("b")], 4, LoaderConfig(debug_log_keys=f"file://{tmp_path}/keys"))
+    seen = [r["key"] for r in log.pipeline().dataframe().collect()]
+    assert sorted(r[0] for r in spark.read.text(f"file://{tmp_path}/keys").collect()) == sorted(seen)
+
+
+def test_consumers_come_from_the_environment():
+    assert Consumer.inferred({}) == Consumer(0, 1, 1)
+    assert Consumer.inferred({"SLURM_PROCID": "3", "LOCAL_RANK": "1", "SLURM_NTASKS": "8", "LOCAL_WORLD_SIZE": "4"}) == Consumer(3, 8, 4)
+    assert Consumer.inferred({"RANK": "2", "SLURM_PROCID": "3", "WORLD_SIZE": "5"}) == Consumer(2, 5, 1)
+
+
+def test_metrics_and_stages(spark):
+    sink = MetricsSink(spark, 2, clock=lambda: 77.9)
+    sink.inc("batches")
+    sink.inc("read_bytes", 500)
+    sink.set_float("utilisation", 0.5)
+    sink.heartbeat()
+    for bad in (lambda: sink.inc("utilisation"), lambda: sink.set_float("batches", 1.0), lambda: sink.inc("x")):
+        with pytest.raises(TypeError):
+            bad()
+    assert sink.counting("queue_depth", spark.range(30)).count() == 30
+    ticks = iter([0, 5_000_000, 10_000_000, 12_000_000])
+    timer = StageTimer("read", sink, clock=lambda: next(ticks))
+    assert timer.stop() == 0 and timer.start().stop() == 5
+    with pytest.raises(KeyError), timer:
+        raise KeyError
+    row = sink.table().first()
+    assert (row["rank"], row["batches"], row["read_bytes"], row["utilisation"], row["heartbeat"], row["queue_depth"], row["read_ms"]) == (2, 1, 500, 0.5, 77, 30, 7)
+    assert [r["duration_us"] for r in span_table(spark, timer.spans).collect()] == [5000, 2000]
+
+
+def test_catalogue_commands(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    made = cli.add(spark, root, "public", "rgb", "set", "train")
+    assert (tmp_path / "public/rgb/set/outputs/default/train").is_dir() and (tmp_path / "public/rgb/set/raw").is_dir()
+    for k in range(2):
+        tar.write_index(spark, f"{made}/outputs/default/train/shard-{k:06d}.idx", range(0, 512 * 8, 512))
+        (tmp_path / f"public/rgb/set/outputs/default/train/shard-{k:06d}.tar").write_bytes(b"x")
+    assert cli.count(spark, root, "set").collect()[0].asDict() == {"dataset": "set", "strategy": "default", "split": "train", "n": 16}
+    assert [r["n_shards"] for r in cli.preview(spark, root).collect()] == [2]
+    assert cli.main(["x"]) == 2
+
+
+def test_numbers_are_exact_over_many_buckets(spark):
+    df = spark.range(3000).select((F.col("id") * F.col("id") * 7919 % 1_000_003).alias("k"), (F.col("id") % 3).alias("g"), "id")
+    rows = numbered(df, "n", [F.col("k"), F.col("id")], F.col("k"), ["g"], rows=100).collect()
+    for g in range(3):
+        mine = sorted((r for r in rows if r["g"] == g), key=lambda r: (r["k"], r["id"]))
+        assert [r["n"] for r in mine] == list(range(1, 1001))
+    wide = spark.range(20000).select((F.col("id") * 1_000_003).alias("k"))  # sparse keys
+    buckets = [r["count"] for r in wide.select(bucket_of(F.col("k").cast("double"), quantiles(wide, F.col("k"), 50)).alias("b")).groupBy("b").count().collect()]
+    assert len(buckets) == 50 and max(buckets) < 2 * 400
+    many = spark.range(5000).select(F.exp(F.col("id") / 300).alias("ms"))  # values far above 1000
+    assert max(r["count"] for r in many.select(bucket_of(F.col("ms"), quantiles(many, F.col("ms"), 20)).alias("b")).groupBy("b").count().collect()) < 2 * 250
+    assert bucket_of(F.col("ms"), []) is not None and quantiles(many.where("false"), F.col("ms"), 5) == []
+
+
+def test_late_rows_are_dropped_and_closed_windows_written_once(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, event_type string, value double"
+    at = lambda d, h: datetime(2024, 1, d, h)
+    for k, rows in enumerate([[(1, at(1, 5), "a", 1.0), (2, at(3, 5), "a", 2.0)], [(4, at(3, 6), "a", 3.0)], [(3, at(1, 6), "a", 50.0)], [(5, at(5, 2), "a", 9.0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/p{k}")
+        (part,) = (tmp_path / f"p{k}").glob("*.parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+        time.sleep(1.1)  # files are read in the order of their times
+    found = windows.run_available(spark, f"file://{tmp_path}/in", f"file://{tmp_path}", files_per_batch=1)
+    assert sorted((r["start"].day, r["n"], r["total"]) for r in found.collect()) == [(1, 1, 1.0), (3, 2, 5.0)]
+
+
 def test_pipeline_composition(spark):
     base = spark.range(40).select(F.floor(F.col("id") / 2).alias("batch_id"), "id")
     p = Pipeline(base, length=20)
