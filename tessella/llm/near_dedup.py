@@ -23,8 +23,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 LEAST, ROWS, BANDS = 2, 3, 20
 #: About so many texts of a group are put in order by one task.
 STRETCH = 128
-#: About so many texts that share a prefix shingle are probed by one task.
-PROBED = 512
+#: Shingles in the prefixes of more texts than this do not pair them directly.
+HOT = 32
+#: Sets may differ in this share of their sizes' sum.
+SPREAD = (1 - SIMILARITY) / (1 + SIMILARITY)
+LINKED, UNLIKE, REORDERED = 0, 1, 2
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
@@ -209,20 +212,25 @@ def _words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(tidy(run), "node long, words binary")
 
 
+def _paired(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs (u, v, ...) with the words of both as a and b. A text with many partners is dealt out by partner."""
+    # v may be a leader of very many u: its words are repeated once per 64 partners.
+    salts = saved(pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("n_salts")), "near-salts")
+    right = salts.join(words.withColumnRenamed("node", "v"), "v").select("v", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"), F.col("words").alias("b"))
+    salted = pairs.join(salts, "v").withColumn("salt", F.pmod(F.xxhash64("u"), F.col("n_salts")).cast("int")).drop("n_salts")
+    left = salted.join(words.select(F.col("node").alias("u"), F.col("words").alias("a")), "u")
+    return left.join(right, ["v", "salt"]).select(*pairs.columns, "a", "b")
+
+
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose texts are similar. A text with many partners is dealt out by partner."""
+    """Those of the pairs (u, v) whose texts are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [similar(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    # v may be a leader of very many u: its words are repeated once per 64 partners.
-    salts = saved(pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("n")), "near-salts")
-    right = salts.join(words.withColumnRenamed("node", "v"), "v").select("v", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.col("words").alias("b"))
-    salted = pairs.join(salts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("n")).cast("int").alias("salt"))
-    left = salted.join(words.select(F.col("node").alias("u"), F.col("words").alias("a")), "u")
-    return left.join(right, ["v", "salt"]).select("u", "v", "a", "b").mapInArrow(tidy(run), "u long, v long")
+    return _paired(pairs.select("u", "v"), words).mapInArrow(tidy(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,7 +240,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both the Jaccard coefficient of their 5-word shingle sets and their word edit similarity are 0.8 or more; classes
     are the connected components. ``n_links`` counts verified links of the row's text to other texts. Within a band's
     group each text is compared to the least one; where texts of a group remain in different classes, also to its
-    neighbour in a random order that differs by band. Null counts as empty; empty texts are all one class; texts of
+    neighbours in a random order that differs by band, and where they do even then, every pair of different classes is
+    verified or proven unlike. Null counts as empty; empty texts are all one class; texts of
     less than five words equal only themselves. Repeated rows of one id share a class and exactly one row of a class is
     kept; null ids count as largest. Columns other than id and text are not read; an empty table gives an empty result.
     """
@@ -261,8 +270,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What is mixed even now is settled exactly: every pair of a group is verified or shares too few shingles.
     rooted = saved(grouped.select("key", "node").join(connected_components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
     mixed = saved(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "near-unsettled")
-    rest = saved(_sharing(_sets(words, rooted.join(mixed, "key").select("node", "root").distinct())), "near-rest")
-    links = saved(links.unionByName(_verified(rest, words)).distinct(), "near-links")
+    sets = _sets(words, rooted.join(mixed, "key").select("node", "root").distinct())
+    few, close = _sharing(sets)
+    measured = saved(_differences(_centred(saved(close, "near-close"), sets), words), "near-differences")
+    near = measured.where(F.col("status") == LINKED).select("u", "v")
+    rest = saved(few.unionByName(_unlinked_pairs(measured)).distinct(), "near-rest")
+    links = saved(links.unionByName(near).unionByName(_verified(rest, words)).distinct(), "near-links")
     return _classes(rows, nodes, links, id_col)
 
 
@@ -298,12 +311,15 @@ def _sets(words: DataFrame, wanted: DataFrame) -> DataFrame:
     return saved(wanted.join(words, "node").select("node", "root", "words").mapInArrow(tidy(run), "node long, root long, tokens array<long>"), "near-sets")
 
 
-def _sharing(sets: DataFrame, probed: int = PROBED) -> DataFrame:
+def _sharing(sets: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """All pairs of different roots that may reach ``SIMILARITY``, by the prefix filter; no such pair is left out.
 
     Shingles are put in one order for all texts: those of a single root first, then rare before common ones. Texts x and
     y of sizes |y| <= |x| can reach the similarity s only if one of the first |x| - s |x| + 1 shingles of x is one of the
     first |y| - 2 s |y| / (1 + s) + 1 shingles of y. A passage that very many texts share is late in the order.
+
+    Gives (u, v) pairs of texts that share a shingle of at most ``hot`` texts; and, of the shingles that more share, their
+    texts (u, root, size), under the number of the least of them (v): see :func:`_unlinked_pairs`.
     """
     held = sets.select("node", "root", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     spread = saved(held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("token", "n"), "near-spread")
@@ -313,13 +329,81 @@ def _sharing(sets: DataFrame, probed: int = PROBED) -> DataFrame:
     prefix = F.slice("shared", 1, F.greatest(fewer(SIMILARITY) - first, F.lit(0)))
     placed = ranked.select("node", "root", "size", first.alias("first"), F.posexplode(prefix).alias("at", "x"))
     cut = saved(placed.select(F.col("x.token").alias("token"), "node", "root", "size", (F.col("first") + F.col("at") < fewer(2 * SIMILARITY / (1 + SIMILARITY))).alias("early")), "near-prefixes")
-    groups = cut.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("early").alias("any"), F.count(F.lit(1)).alias("n")).where("lo < hi AND any")
-    parts = saved(groups.select("token", F.ceil(F.col("n") / probed).cast("int").alias("parts")), "near-parts")
-    dealt = saved(cut.join(parts, "token"), "near-dealt")
-    probes = dealt.select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "root", "size")
-    kept = dealt.where("early").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("o_node"), F.col("root").alias("o_root"), F.col("size").alias("o_size"))
+    groups = cut.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("early").alias("any"), F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("lo < hi AND any")
+    dealt = saved(cut.join(saved(groups.select("token", "n", "least"), "near-tokens"), "token"), "near-dealt")
+    probes = dealt.where(F.col("n") <= hot)
+    kept = probes.where("early").select("token", F.col("node").alias("o_node"), F.col("root").alias("o_root"), F.col("size").alias("o_size"))
     alike = (F.col("o_size") <= F.col("size")) & (F.col("o_size") >= SIMILARITY * F.col("size") - 1e-9)
-    return probes.join(kept, ["token", "part"]).where((F.col("root") != F.col("o_root")) & alike).select(F.greatest("node", "o_node").alias("u"), F.least("node", "o_node").alias("v")).distinct()
+    few = probes.join(kept, "token").where((F.col("root") != F.col("o_root")) & alike).select(F.greatest("node", "o_node").alias("u"), F.least("node", "o_node").alias("v")).distinct()
+    close = dealt.where(F.col("n") > hot).select(F.col("node").alias("u"), F.col("least").alias("v"), "root", "size").distinct()
+    return few, close
+
+
+def _centred(close: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, root, v_root, size): of the texts around one v, each other one beside the one most like what most of them hold."""
+    held = saved(close.select("v", "u").join(sets.select(F.col("node").alias("u"), F.explode("tokens").alias("token")), "u"), "near-held")
+    members = close.groupBy("v").agg(F.count(F.lit(1)).alias("members"))
+    common = held.groupBy("v", "token").agg(F.count(F.lit(1)).alias("n")).join(members, "v").where(F.col("n") * 2 > F.col("members")).select("v", "token", F.lit(2).alias("common"))
+    scored = held.join(saved(common, "near-common"), ["v", "token"], "left").groupBy("v", "u").agg(F.sum(F.coalesce("common", F.lit(0)) - 1).alias("score"))
+    best = scored.groupBy("v").agg(F.max_by("u", F.struct("score", -F.col("u"))).alias("q"))
+    centres = best.join(close.select("v", F.col("u").alias("q"), F.col("root").alias("v_root")), ["v", "q"])
+    return saved(close.join(saved(centres, "near-centres"), "v").where("u <> q").select("u", F.col("q").alias("v"), "root", "v_root", "size").distinct(), "near-centred")
+
+
+def _differences(close: DataFrame, words: DataFrame) -> DataFrame:
+    """(u, v, root, v_root, size) with the shingles in which u differs from v, and whether they are linked.
+
+    ``status``: LINKED; UNLIKE, as their sets of shingles differ too much; or REORDERED: the sets agree, the order does not.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            status, tokens = [], []
+            for x, y in zip(b.column(5), b.column(6)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                p, q = np.unique(shingles(x)), np.unique(shingles(y))
+                tokens.append(np.setxor1d(p, q, assume_unique=True).view(np.int64))
+                close = len(tokens[-1]) <= SPREAD * (len(p) + len(q)) + 1e-9
+                status.append(UNLIKE if not close else LINKED if edit_similar(x, y) else REORDERED)
+            lengths = np.cumsum([0, *map(len, tokens)])
+            flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(status, pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))], ["u", "v", "root", "v_root", "size", "status", "tokens"])
+
+    return _paired(close, words).mapInArrow(tidy(run), "u long, v long, root long, v_root long, size int, status int, tokens array<long>")
+
+
+def _unlinked_pairs(measured: DataFrame) -> DataFrame:
+    """Pairs (u, v) around the same text p that may be similar though p does not link them; no such pair is left out.
+
+    With c = (1 - s) / (1 + s), sets x and y reach the similarity s if they differ in at most c (|x| + |y|) shingles. If
+    x and y differ from p in the sets X and Y, they differ from each other in |X| + |Y| - 2 |X & Y|. So X and Y must share
+    (e(x) + e(y)) / 2 shingles or more, where e(x) = |X| - c |x|. One of the two is unlike p, so its e is at least the least
+    e0 of those. Shingles in no other class can't be shared: a text with too few others is out, which rids a family of
+    copies with changes of their own of all its pairs. For the rest, rare ones come first, as in :func:`_sharing`.
+    Texts that only their order keeps from p are paired with all others around p.
+    """
+    own = F.when(F.col("status") == LINKED, F.col("v_root")).otherwise(F.col("root"))
+    rows = measured.select("v", "u", own.alias("own"), "size", "status", "tokens", (F.size("tokens") - SPREAD * F.col("size")).alias("e"))
+    unlike = rows.where(F.col("status") == UNLIKE).groupBy("v").agg(F.min("e").alias("e0"))
+    held = rows.where(F.col("status") != REORDERED).join(unlike, "v").select("v", "u", "own", "size", "status", "e", "e0", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
+    spread = saved(held.groupBy("v", "token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("v", "token", "n"), "near-differing")
+    ranked = saved(held.join(spread, ["v", "token"]).groupBy("v", "u", "own", "size", "status", "e", "e0", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared")), "near-ranked")
+
+    def prefixes(df: DataFrame, needed: Column) -> DataFrame:
+        n = (F.size("shared") - F.greatest(F.ceil(needed - 1e-6), F.lit(1)) + 1).cast("int")
+        return df.select("v", "u", "own", "size", F.explode(F.slice("shared", 1, F.greatest(n, F.lit(0)))).alias("x")).select("v", F.col("x.token").alias("token"), "u", "own", "size")
+
+    with_unlike = (F.col("e") + F.col("e0")) / 2
+    with_linked = F.col("n_tokens") - SPREAD * F.col("size") * (1 + 1 / SIMILARITY)
+    far, near = ranked.where(F.col("status") == UNLIKE), ranked.where(F.col("status") == LINKED)
+    others = lambda df: df.select("v", "token", F.col("u").alias("o"), F.col("own").alias("o_own"), F.col("size").alias("o_size"))
+    alike = (F.col("own") != F.col("o_own")) & (F.least("size", "o_size") >= SIMILARITY * F.greatest("size", "o_size") - 1e-9)
+    short = saved(prefixes(far, with_unlike), "near-far")
+    found = short.join(others(short), ["v", "token"]).where(alike & (F.col("u") > F.col("o")))
+    found = found.unionByName(prefixes(near, with_unlike).join(others(prefixes(far, with_linked)), ["v", "token"]).where(alike))
+    turned = rows.where(F.col("status") == REORDERED).select("v", "u", "size", "own").join(rows.select("v", F.col("u").alias("o"), F.col("size").alias("o_size"), F.col("own").alias("o_own")), "v").where(alike)
+    pairs = found.select("u", "o").unionByName(turned.select("u", "o"))
+    return pairs.select(F.greatest("u", "o").alias("u"), F.least("u", "o").alias("v")).distinct()
 
 
 def _node_words(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
