@@ -19,38 +19,47 @@ from tessella.llm.near_dedup import near_duplicates, norm_words
 from tessella.llm.packing import pack
 from tessella.llm.quality_rules import score_quality, train_quality_rules
 
-#: A document stays if one language has at least this share of it.
-LEAST_SHARE = 0.5
 #: A document stays if its quality score reaches this.
 LEAST_QUALITY = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a determined main language stay."""
+    """Documents with a determined language stay, whatever the number of languages they mix.
+
+    Null texts and texts without letters go, and so does every text where no language was learned. Repeated rows and null
+    ids stay as they are, and so do all columns, whatever their names; an empty table stays empty.
+    """
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang")
     found = identify_languages(packed, train_language_model(packed, condition=learns()), text_col="row.text", keep=["row"])
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    return found.where(F.col("lang_pred") != UNDETERMINED).select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble does not take for low quality stay."""
+    """Documents that the rule ensemble does not take for low quality stay.
+
+    Null texts count as empty. Repeated rows are scored alike, null ids pass, other columns stay as they are; without
+    labels every text has a score of one half and stays.
+    """
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     model = train_quality_rules(packed, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(packed, model).where(F.col("_score") >= LEAST_QUALITY).select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of equal texts stays."""
+    """The document with the smallest id of each group of equal texts stays; of repeats of one id and text, one.
+
+    Null texts count as empty, a null id as the largest; other columns stay as they are.
+    """
     return keep_rows(docs, exact_dedup(docs), "doc_id", F.sha2(normalised("text"), 256), "text_sha256")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near duplicates stays."""
+    """The document with the smallest id of each class of near duplicates stays; nulls and repeats as before."""
     return keep_rows(docs, near_duplicates(docs), "doc_id", F.md5(norm_words("text")), "words_md5")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents that stayed, as pieces of sequences."""
+    """All documents that stayed, as pieces of sequences; null and empty texts are their end id alone."""
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
