@@ -1,7 +1,7 @@
 """TIFF as a media column: image directories, PackBits, LZW and deflate strips and tiles, horizontal predictor.
 
 Reading walks the chain of image directories and gives one row per page; writing lays bytes out as pages of 8-bit
-samples. Classic TIFF with 8-bit chunky samples in either byte order is understood.
+samples. Classic TIFF with 8- or 16-bit samples, chunky or in planes, in either byte order is understood.
 """
 
 from __future__ import annotations
@@ -68,73 +68,93 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def widths(n: int) -> np.ndarray:
+    """Bits of the first ``n`` codes after a clear code: 9 to 12, one code early, as readers expect."""
+    free = FIRST_FREE + np.arange(n)
+    return 9 + (free >= 512).astype(np.int64) + (free >= 1024) + (free >= 2048)
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """Codes from 9 to 12 bits, most significant bit first; a code's width grows one code early, as readers expect."""
-    out, acc, n = bytearray(), CLEAR, 9
-    table, free, bits = {bytes([i]): i for i in range(256)}, FIRST_FREE, 9
-    single = dict(table)
-    held = b""
-    for i in range(len(data)):
-        longer = held + data[i : i + 1]
-        if longer in table:
-            held = longer
+    """Codes from 9 to 12 bits, most significant bit first."""
+    codes, sizes = [CLEAR], [widths(1)]
+    table: dict[int, int] = {}
+    free, began, code = FIRST_FREE, 1, -1
+    for byte in data:
+        if code < 0:
+            code = byte
             continue
-        acc, n = acc << bits | table[held], n + bits
-        table[longer] = free
+        key = code << 8 | byte
+        longer = table.get(key)
+        if longer is not None:
+            code = longer
+            continue
+        codes.append(code)
+        table[key] = free
         free += 1
         if free > LAST_CODE:
-            acc, n = acc << bits | CLEAR, n + bits
-            table, free, bits = dict(single), FIRST_FREE, 9
-        elif free > (1 << bits) - 1:
-            bits += 1
-        if n > 4096:
-            keep = n & 7
-            out += (acc >> keep).to_bytes(n >> 3, "big")
-            acc, n = acc & ((1 << keep) - 1), keep
-        held = data[i : i + 1]
-    if held:
-        acc, n = acc << bits | table[held], n + bits
-        free += 1
-        if free > (1 << bits) - 1 and bits < 12:
-            bits += 1
-    acc, n = acc << bits | END, n + bits
-    pad = -n & 7
-    return bytes(out) + (acc << pad).to_bytes((n + pad) >> 3, "big")
+            codes.append(CLEAR)
+            sizes.append(widths(len(codes) - began))
+            table, free, began = {}, FIRST_FREE, len(codes)
+        code = byte
+    if code >= 0:
+        codes.append(code)
+    codes.append(END)
+    sizes.append(widths(len(codes) - began))
+    values, size = np.array(codes)[:, None], np.concatenate(sizes)[:, None]
+    bit = np.arange(12)[None, :]
+    return np.packbits((values >> np.maximum(size - 1 - bit, 0) & 1).astype(np.uint8)[bit < size]).tobytes()
+
+
+def _codes(data: bytes) -> Iterator[tuple[bool, list[int]]]:
+    """(whether a clear code came before, codes) in stretches, up to the end code."""
+    raw = np.frombuffer(data + bytes(4), np.uint8).astype(np.int64)
+    at, done, fresh = 0, 0, True
+    while True:
+        size = widths(done + 4096)[done:]
+        place = at + np.cumsum(size) - size
+        inside = place + size <= 8 * len(data)
+        size, place = size[inside], place[inside]
+        if not len(size):
+            return
+        byte = place >> 3
+        window = raw[byte] << 24 | raw[byte + 1] << 16 | raw[byte + 2] << 8 | raw[byte + 3]
+        codes = window >> 32 - (place & 7) - size & (1 << size) - 1
+        stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+        n = int(stop[0]) if len(stop) else len(codes)
+        yield fresh, codes[:n].tolist()
+        if not len(stop):
+            at, done, fresh = int(place[-1] + size[-1]), done + n, False
+        elif codes[n] == END:
+            return
+        else:
+            at, done, fresh = int(place[n] + size[n]), 0, True
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
     base = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, bits, acc, n, last, made = base.copy(), 9, 0, 0, b"", 0
+    table, last, made = base.copy(), b"", 0
     out: list[bytes] = []
-    for byte in data:
-        acc, n = acc << 8 | byte, n + 8
-        if n < bits:
-            continue
-        n -= bits
-        code = acc >> n
-        acc &= (1 << n) - 1
-        if code == CLEAR:
-            table, bits, last = base.copy(), 9, b""
-            continue
-        if code == END or made >= size:
-            break
-        if not last:
-            entry = table[code] if code < 256 else b""
-            if not entry:
-                raise BadTiff("LZW data begin with no sample")
-        else:
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table):
-                entry = last + last[:1]
+    for fresh, codes in _codes(data):
+        if fresh:
+            table, last = base.copy(), b""
+        for code in codes:
+            if last:
+                if code < len(table):
+                    entry = table[code]
+                elif code == len(table):
+                    entry = last + last[:1]
+                else:
+                    raise BadTiff("LZW code out of range")
+                table.append(last + entry[:1])
             else:
-                raise BadTiff("LZW code out of range")
-            table.append(last + entry[:1])
-            if len(table) >= (1 << bits) - 1 and bits < 12:
-                bits += 1
-        out.append(entry)
-        made += len(entry)
-        last = entry
+                if code > 255:
+                    raise BadTiff("LZW data begin with no sample")
+                entry = table[code]
+            out.append(entry)
+            last = entry
+            made += len(entry)
+        if made >= size:
+            break
     return b"".join(out)
 
 
@@ -164,27 +184,30 @@ def decompress(data: bytes, kind: int, size: int) -> bytes:
 
 @dataclass
 class Page:
-    """One image: ``pixels`` is (height, width, samples) of unsigned 8-bit values."""
+    """One image: ``pixels`` is (height, width, samples) of unsigned 8- or 16-bit values; ``planes``: stored one by one."""
 
     pixels: np.ndarray
     compression: int = DEFLATE
     predictor: int = 1
     tile: int = 0  # side of square tiles, or 0 for strips
     rows_per_strip: int = 128
+    planes: bool = False
 
 
 def _blocks(page: Page) -> list[bytes]:
-    h, w, s = page.pixels.shape
-    if page.tile:
-        t = page.tile
-        padded = np.zeros((-(-h // t) * t, -(-w // t) * t, s), np.uint8)
-        padded[:h, :w] = page.pixels
-        blocks = [padded[y : y + t, x : x + t] for y in range(0, h, t) for x in range(0, w, t)]
-    else:
-        blocks = [page.pixels[y : y + page.rows_per_strip] for y in range(0, h, page.rows_per_strip)]
+    blocks = []
+    for pixels in np.split(page.pixels, page.pixels.shape[2], axis=2) if page.planes else [page.pixels]:
+        h, w, s = pixels.shape
+        if page.tile:
+            t = page.tile
+            padded = np.zeros((-(-h // t) * t, -(-w // t) * t, s), pixels.dtype)
+            padded[:h, :w] = pixels
+            blocks += [padded[y : y + t, x : x + t] for y in range(0, h, t) for x in range(0, w, t)]
+        else:
+            blocks += [pixels[y : y + page.rows_per_strip] for y in range(0, h, page.rows_per_strip)]
     if page.predictor == 2:
         blocks = [np.concatenate([b[:, :1], b[:, 1:] - b[:, :-1]], axis=1) for b in blocks]
-    return [compress(b.tobytes(), page.compression) for b in blocks]
+    return [compress(b.astype(b.dtype.newbyteorder("<")).tobytes(), page.compression) for b in blocks]
 
 
 def write_tiff(pages: list[Page]) -> bytes:
@@ -199,7 +222,7 @@ def write_tiff(pages: list[Page]) -> bytes:
             sizes.append(len(block))
             out += block
         out += b"\0" * (len(out) & 1)
-        tags = {WIDTH: (4, [w]), HEIGHT: (4, [h]), BITS: (3, [8] * s), COMPRESSION: (3, [page.compression]), PHOTOMETRIC: (3, [2 if s >= 3 else 1]), SAMPLES: (3, [s]), PLANAR: (3, [1]), PREDICTOR: (3, [page.predictor])}
+        tags = {WIDTH: (4, [w]), HEIGHT: (4, [h]), BITS: (3, [8 * page.pixels.itemsize] * s), COMPRESSION: (3, [page.compression]), PHOTOMETRIC: (3, [2 if s >= 3 else 1]), SAMPLES: (3, [s]), PLANAR: (3, [2 if page.planes else 1]), PREDICTOR: (3, [page.predictor])}
         if page.tile:
             tags |= {TILE_WIDTH: (4, [page.tile]), TILE_HEIGHT: (4, [page.tile]), TILE_OFFSETS: (4, offsets), TILE_SIZES: (4, sizes)}
         else:
@@ -238,12 +261,15 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
     return tags, following
 
 
-def _page(data: bytes, tags: dict[int, list[int]], most: int) -> Page:
+def _page(data: bytes, tags: dict[int, list[int]], most: int, order: str) -> Page:
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
     w, h, s = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     kind, predictor = one(COMPRESSION, RAW), one(PREDICTOR, 1)
-    if not w or not h or not s or set(tags.get(BITS, [1])) != {8} or one(PLANAR, 1) != 1 or predictor not in (1, 2):
-        raise BadTiff("no image of 8-bit chunky samples")
+    bits, planes = set(tags.get(BITS, [1])), one(PLANAR, 1) == 2
+    if not w or not h or not s or bits not in ({8}, {16}) or one(PLANAR, 1) not in (1, 2) or predictor not in (1, 2):
+        raise BadTiff("no image of 8- or 16-bit samples")
+    kept = np.dtype(np.uint8 if bits == {8} else np.uint16)
+    held, copies = (1, s) if planes else (s, 1)
     if w * h * s > most:
         raise BadTiff("image too large")
     tw, th = one(TILE_WIDTH), one(TILE_HEIGHT)
@@ -253,17 +279,18 @@ def _page(data: bytes, tags: dict[int, list[int]], most: int) -> Page:
         raise BadTiff("block too large")
     offsets, sizes = (tags.get(TILE_OFFSETS, []), tags.get(TILE_SIZES, [])) if tiled else (tags.get(STRIP_OFFSETS, []), tags.get(STRIP_SIZES, []))
     down, across = -(-h // bh), -(-w // bw)
-    if len(offsets) < down * across or len(sizes) < down * across:
+    if min(len(offsets), len(sizes)) < down * across * copies:
         raise BadTiff("too few strips or tiles")
-    pixels = np.empty((h, w, s), np.uint8)
-    for k in range(down * across):
-        y, x = k // across * bh, k % across * bw
+    pixels = np.empty((h, w, s), kept)
+    for k in range(down * across * copies):
+        plane, place = divmod(k, down * across)
+        y, x = place // across * bh, place % across * bw
         rows = bh if tiled else min(bh, h - y)
-        block = np.frombuffer(decompress(data[offsets[k] : offsets[k] + sizes[k]], kind, rows * bw * s), np.uint8).reshape(rows, bw, s)
+        block = np.frombuffer(decompress(data[offsets[k] : offsets[k] + sizes[k]], kind, rows * bw * held * kept.itemsize), kept.newbyteorder(order)).reshape(rows, bw, held)
         if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=np.uint8)
-        pixels[y : y + bh, x : x + bw] = block[: h - y, : w - x]
-    return Page(pixels, kind, predictor, tw if tiled else 0, bh)
+            block = np.cumsum(block, axis=1, dtype=kept)
+        pixels[y : y + bh, x : x + bw, plane : plane + held] = block[: h - y, : w - x]
+    return Page(pixels, kind, predictor, tw if tiled else 0, bh, planes)
 
 
 def read_tiff(data: bytes, most: int = 1 << 28) -> Iterator[Page]:
@@ -281,39 +308,38 @@ def read_tiff(data: bytes, most: int = 1 << 28) -> Iterator[Page]:
             tags, following = _directory(data, at, order)
         except struct.error:
             raise BadTiff("a directory lies outside the file") from None
-        yield _page(data, tags, most)
+        yield _page(data, tags, most, order)
         at = following
 
 
-PAGE_SCHEMA = "page int, width int, height int, samples int, compression string, predictor int, tiled boolean, pixels binary, error string"
+PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression string, predictor int, tiled boolean, pixels binary, error string"
 
 
 def tiff_pages(df: DataFrame, media_col: str = "media", id_col: str = "doc_id", most: int = 1 << 28) -> DataFrame:
     """One row per page of each file: id and the columns of ``PAGE_SCHEMA``.
 
     What can't be read gives one row with ``error`` set and the page's other columns null, after the pages before it.
-    A null file gives no row; an empty one an error. Repeated rows and null ids pass through; other columns are not read.
+    Pixels are rows of samples, 16-bit ones with the least byte first. A null file gives no row; an empty one an error. Repeated rows and null ids pass through; other columns are not read.
     """
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    names = [id_col, "page", "width", "height", "samples", "compression", "predictor", "tiled", "pixels", "error"]
+    names = [id_col, "page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", "pixels", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [None, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
+        types = [None, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
+        one = lambda row: pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types)], names)
         for b in batches:
             types[0] = b.schema.field(0).type
             for key, media in zip(b.column(0).to_pylist(), b.column(1)):
                 if not media.is_valid:
                     continue
-                rows, n = [], 0
+                n = 0
                 try:
-                    for n, p in enumerate(read_tiff(media.as_py(), most), 1):
+                    for n, p in enumerate(read_tiff(media.as_py(), most), 1):  # one page is held at a time
                         h, w, s = p.pixels.shape
-                        rows.append((key, n - 1, w, h, s, NAMES[p.compression], p.predictor, bool(p.tile), p.pixels.tobytes(), None))
+                        yield one((key, n - 1, w, h, s, 8 * p.pixels.itemsize, NAMES[p.compression], p.predictor, bool(p.tile), p.pixels.tobytes(), None))
                 except BadTiff as e:
-                    rows.append((key, n, None, None, None, None, None, None, None, str(e)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                    yield one((key, n, None, None, None, None, None, None, None, None, str(e)))
 
     return df.select(id_col, media_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, {PAGE_SCHEMA}")
 
@@ -324,15 +350,15 @@ PAGE_WIDTH, PAGE_ROWS, TILE = 64, 512, 64
 def bytes_to_tiff(payload: bytes) -> bytes:
     """A payload of 64 n bytes as pages of 64 samples by at most 512 rows.
 
-    One page in sixteen (by the payload's length and the page's number) is LZW, one PackBits, the others deflate; every
-    second page is predicted, every third is tiled. Equal payloads give equal files.
+    By a hash of the payload and the page's number a quarter of the pages is LZW, a quarter PackBits and half deflate;
+    independently of that half of them is predicted, and half of them tiled. Equal payloads give equal files.
     """
     rows = len(payload) // PAGE_WIDTH
     image = np.frombuffer(payload, np.uint8).reshape(rows, PAGE_WIDTH, 1)
-    pages = []
+    seed, pages = zlib.crc32(payload), []
     for k, y in enumerate(range(0, rows, PAGE_ROWS)):
-        turn = (rows + k) % 16
-        pages.append(Page(image[y : y + PAGE_ROWS], {0: LZW, 1: PACKBITS}.get(turn, DEFLATE), 2 if k % 2 else 1, TILE if k % 3 == 2 else 0))
+        turn = zlib.crc32(struct.pack("<II", seed, k))
+        pages.append(Page(image[y : y + PAGE_ROWS], (LZW, PACKBITS, DEFLATE, DEFLATE)[turn & 3], 1 + (turn >> 2 & 1), TILE * (turn >> 3 & 1)))
     return write_tiff(pages)
 
 

@@ -267,7 +267,96 @@ def test_near_dedup_links_all_pairs_under_a_shared_passage(spark):
 def test_prefixes_leave_no_alike_pair_out(spark):
     rng = np.random.default_rng(4)
     sets = [sorted({int(x) for x in rng.choice(24, int(n), replace=False)}) for n in rng.integers(1, 14, 160)]
-    pairs = near_dedup._sharing(spark.createDataFrame([(k, k // 2, s) for k, s in enumerate(sets)], "node long, root long, tokens array<long>"), 16)
+    pairs, close = near_dedup._sharing(spark.createDataFrame([(k, k // 2, s) for k, s in enumerate(sets)], "node long, root long, tokens array<long>"), 1000)
+    assert close.isEmpty()
     found = {(r["u"], r["v"]) for r in pairs.collect()}
     alike = {(a, b) for a in range(160) for b in range(a) if a // 2 != b // 2 and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]}) - 1e-9}
     assert alike and alike <= found
+
+
+def family(rng, n, size, copies_of_copies=0):
+    """Copies of one text, each with words of its own at random places; some are copies of such copies."""
+    base = [f"base{j}" for j in range(size)]
+    out = []
+    for k in range(n):
+        words = list(out[int(rng.integers(len(out)))] if k < copies_of_copies and out else base)
+        for at in rng.choice(size, int(rng.integers(0, 7)), replace=False):
+            words[at] = f"new{rng.integers(200)}"
+        out.append(words)
+    return out
+
+
+def plain_links(texts):
+    """Pairs by word lists alone: sets of five-word tuples, and edits counted by a plain table."""
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    return {(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and plain_edits(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9}
+
+
+@pytest.mark.parametrize("hot", [2, 32])
+def test_near_dedup_against_word_lists(spark, monkeypatch, hot):
+    """Classes of a family of copies and of unrelated texts, against links found without any of the operator's code."""
+    monkeypatch.setattr(near_dedup._sharing, "__defaults__", (hot,))
+    rng = np.random.default_rng(hot)
+    texts = family(rng, 150, 90, copies_of_copies=60) + family(rng, 40, 60) + [[f"z{k}x{j}" for j in range(50)] for k in range(20)]
+    texts += [t[45:] + t[:45] for t in texts[:8]]  # the same shingles but for a few, in another order
+    links = plain_links(texts)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    out = near_dedup.near_duplicates(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)).collect()
+    found = {r["doc_id"]: r["class_id"] for r in out}
+    lost = [(a, b) for a, b in links if found[a] != found[b]]
+    print(f"{len(lost)} of {len(links)} links lost")
+    assert len(links) > 500 and len(lost) <= 0.1 * len(links)
+    assert all(find(a) == find(b) for a in found for b in [found[a]])  # nothing is joined without a link
+
+
+def test_difference_filter_leaves_no_alike_pair_out_and_few_others(spark):
+    rng = np.random.default_rng(8)
+    centre = set(range(100))
+    sets = []
+    for k in range(400):
+        mine = (centre - set(rng.choice(100, int(rng.integers(0, 40)), replace=False).tolist())) | {1000 + k * 50 + j for j in range(int(rng.integers(0, 12)))}
+        sets.append(mine | ({999_000 + k // 2 * 20 + j for j in range(20)} if k < 60 else set()))
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9
+    near = [alike(x, centre) for x in sets]
+    rows = [(k, 999, 0 if near[k] else k + 1, 0, len(x), near_dedup.LINKED if near[k] else near_dedup.UNLIKE, sorted(x ^ centre)) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "u long, v long, root long, v_root long, size int, status int, tokens array<long>")
+    found = {(r["u"], r["v"]) for r in near_dedup._unlinked_pairs(df).collect()}
+    want = {(a, b) for a in range(400) for b in range(a) if alike(sets[a], sets[b]) and not (near[a] and near[b])}
+    assert want and want <= found
+    # Copies with changes of their own only are proven unlike without being paired.
+    own = [(centre - set(range(k % 80, k % 80 + 12))) | {1000 + k * 50 + j for j in range(12)} for k in range(400)]
+    rows = [(k, 999, k + 1, 0, len(x), near_dedup.UNLIKE, sorted(x ^ centre)) for k, x in enumerate(own)]
+    assert all(len(x ^ centre) > near_dedup.SPREAD * 200 for x in own)
+    pairs = near_dedup._unlinked_pairs(spark.createDataFrame(rows, df.schema)).collect()
+    want = {(a, b) for a in range(400) for b in range(a) if alike(own[a], own[b])}
+    assert want <= {(r["u"], r["v"]) for r in pairs} and len(pairs) < 400 * 20
+
+
+def test_alignment_of_long_reordered_texts_takes_little_memory():
+    import tracemalloc
+
+    words = np.random.default_rng(1).integers(0, 2**32, 20_000).astype(np.uint32)
+    swapped = np.concatenate([words[10_000:], words[:10_000]])
+    tracemalloc.start()
+    assert not near_dedup.edit_similar(words, swapped) and near_dedup.edit_similar(words, np.concatenate([words[:9000], words[10_000:]]))
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30), st.sampled_from([0, 2, 48]))
+def test_alignment_equals_plain_edits(a, b, few):
+    before, near_dedup.FEW_EDITS = near_dedup.FEW_EDITS, few
+    try:
+        want = plain_edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+        assert near_dedup.edit_similar(np.array(a, np.uint32), np.array(b, np.uint32)) == want
+    finally:
+        near_dedup.FEW_EDITS = before

@@ -111,7 +111,7 @@ def test_language_model(spark):
     found = entries.op5_maxent_lm(spark, SF).collect()
     same_base(found, [(i, r["text"]) for i, r in docs.items()])
     out = [r for r in found if r["held_out"]]
-    assert sum(r["score"] for r in out) > 0.9 * sum(r["base_score"] for r in out)
+    assert sum(r["score"] for r in out) > 0.8 * sum(r["base_score"] for r in out)
     assert all(np.isfinite(r["score"]) and r["score"] <= 0 for r in found)
 
 
@@ -122,6 +122,76 @@ def test_language_model_on_odd_rows(spark, odd_documents, odd_rows, no_documents
     assert all(r["base_score"] == 0 and r["score"] == 0 and r["train_tokens"] == 0 for r in nothing)
 
 
+def test_language_model_equals_plain_loops(spark, odd_documents, monkeypatch):
+    """Every score again, token by token, from the weights, classes, keys and shares that the model ended up with."""
+    kept = {}
+    scored = maxent_lm._scored
+
+    def keep(measured, weights, tables, theta, totals, id_type):
+        kept.update(rows=measured.collect(), weights=weights, tables=tables, theta=theta, totals=totals)
+        return scored(measured, weights, tables, theta, totals, id_type)
+
+    monkeypatch.setattr(maxent_lm, "_scored", keep)
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for docs in (odd_documents.select("doc_id", "text"), spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").where("doc_id % 9 < 2").select("doc_id", "text")):
+        found = sorted((str(r["doc_id"]), round(r["base_score"], 6), r["score"]) for r in maxent_lm.score_language(docs, maxent_lm.holds_out()).collect())
+        t, mine = kept["tables"], []
+        assert t.size and np.abs(kept["theta"]).max() > 0.1
+        for r in kept["rows"]:
+            marks, keys = np.frombuffer(r["a"], np.uint8), np.frombuffer(r["b"], np.uint16)
+            total, history = r["shares"], [maxent_lm.END_CLASS] * 3
+            for i, m in enumerate(marks):
+                c = int(m) & 127
+                if m < 128:
+                    a, b, d = history
+                    rows = [int(np.uint64(x) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % maxent_lm.HASHED for x in (0, 1 + a, 1000 + b, 2000 + d, 10_000 + a * 64 + b, 20_000 + a * 64 + d)]
+                    total += np.log10(softmax(sum(kept["weights"][x].astype(float) for x in rows))[c])
+                    if (t.per_group[c] > 0).sum() > 1:
+                        before = [int(keys[i - k]) if i >= k else maxent_lm.END_KEY for k in (1, 2)]
+                        at = [k * t.size + int(t.start[c]) + int(np.uint64(x + 1 + 65536 * k) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % int(t.width[c]) for k, x in enumerate(before)]
+                        n = t.per_group[c] * np.exp(sum(kept["theta"][x].astype(float) for x in at))
+                        total += np.log10(n[keys[i] & 15] / n.sum())
+                history = [c, *history[:2]]
+            mine.append((str(r["id"]), round(r["base_score"], 6), total))
+        for x, y in zip(found, sorted(mine), strict=True):
+            assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], rel=1e-4, abs=1e-3)
+
+
+def test_word_factor_is_a_softmax_and_updates_follow_the_gradient():
+    rng = np.random.default_rng(2)
+    per_group = np.zeros((maxent_lm.CLASSES, maxent_lm.GROUPS), np.int64)
+    per_group[:3] = rng.integers(0, 50, (3, maxent_lm.GROUPS))
+    per_group[:3, 11] = 0
+    per_group[3, 5] = 70
+    tables = maxent_lm.WordTables(per_group, 64)
+    n = 4000
+    marks = rng.integers(0, 4, n).astype(np.uint8)
+    keys = rng.integers(0, 9, n).astype(np.uint16)
+    keys[1:][marks[1:] < 3] = (keys[:-1] * 7 % 16)[marks[1:] < 3]  # the word before predicts
+    keys = np.where(per_group[np.minimum(marks, 2), keys & 15] > 0, keys, np.array([per_group[min(m, 2)].argmax() for m in marks])).astype(np.uint16)
+    batch = [(marks, keys, np.array([0, 1500]))]
+    at, rows, groups = tables.select(*batch[0])
+    assert (marks[at] < 3).all() and len(at) == (marks < 3).sum()
+    theta = rng.normal(0, 0.3, (2 * tables.size, 16)).astype(np.float32)
+    value = lambda th: tables.log_probs(th, rows, marks[at])[np.arange(len(at)), groups].astype(float).sum()
+    p = np.exp(tables.log_probs(theta, rows, marks[at]))
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and p[per_group[marks[at]] == 0].max() < 1e-9
+    observed, expected = maxent_lm.word_counts(tables, None, iter(batch)), maxent_lm.word_counts(tables, theta, iter(batch))
+    assert observed.sum() == pytest.approx(2 * len(at)) and expected.sum() == pytest.approx(2 * len(at), rel=1e-4)
+    for _ in range(20):  # the gradient is the observed less the expected counts
+        i, j = rng.integers(len(theta)), rng.integers(16)
+        up, down = theta.astype(float), theta.astype(float)
+        up[i, j] += 1e-3
+        down[i, j] -= 1e-3
+        assert (value(up) - value(down)) / 2e-3 == pytest.approx(observed[i, j] - expected[i, j], abs=0.02 + 0.01 * float(observed[i, j]))
+    theta, before = np.zeros_like(theta), -np.inf
+    for _ in range(4):
+        now = value(theta)
+        assert now > before
+        before = now
+        theta = maxent_lm.stepped(theta, observed, maxent_lm.word_counts(tables, theta, iter(batch)))
+
+
 def test_log_probs_are_normalised_and_training_helps():
     rng = np.random.default_rng(3)
     seq = rng.integers(0, 8, 5000)
@@ -155,11 +225,11 @@ def test_codecs_round_trip(kind):
 def test_tiff_pages(spark):
     rng = np.random.default_rng(0)
     shapes = [(1, 1, 1), (5, 7, 3), (70, 33, 1)]
-    pages = [tiff.Page(rng.integers(0, 256, s, dtype=np.uint8), k, p, t, 50) for s in shapes for k in (1, 5, 8, 32773) for p in (1, 2) for t in (0, 16)]
+    pages = [tiff.Page(rng.integers(0, 256 ** (d // 8), s).astype(f"u{d // 8}"), k, p, t, 50, n) for s in shapes for k in (1, 5, 8, 32773) for p in (1, 2) for t in (0, 16) for d in (8, 16) for n in (False, True)]
     media = tiff.write_tiff(pages)
     rows = sorted(tiff.tiff_pages(spark.createDataFrame([(1, media), (2, None), (3, b""), (4, media[:-40]), (5, b"II*\0\x08\0\0\0\0\0\x08\0\0\0")], "doc_id long, media binary")).collect(), key=lambda r: (r["doc_id"], r["page"]))
     good = [r for r in rows if r["doc_id"] == 1]
-    assert len(good) == len(pages) and all(bytes(r["pixels"]) == p.pixels.tobytes() and r["error"] is None for r, p in zip(good, pages))
+    assert len(good) == len(pages) and all(bytes(r["pixels"]) == p.pixels.tobytes() and (r["bits"], r["error"]) == (8 * p.pixels.itemsize, None) for r, p in zip(good, pages))
     assert {r["doc_id"] for r in rows} == {1, 3, 4, 5} and all(r["error"] for r in rows if r["doc_id"] in (3, 5))
 
 
@@ -173,6 +243,15 @@ def test_tiff_big_endian():
     assert page.pixels.ravel().tolist() == [1, 2]
 
 
+def test_pages_use_all_codecs_in_shares():
+    kinds, predicted, tiled = Counter(), 0, 0
+    for k in range(400):
+        (page,) = tiff.read_tiff(tiff.bytes_to_tiff(f"text {k}".encode().ljust(128)))
+        kinds[page.compression] += 1
+        predicted, tiled = predicted + (page.predictor == 2), tiled + bool(page.tile)
+    assert all(70 <= kinds[k] <= 130 for k in (tiff.LZW, tiff.PACKBITS)) and 160 <= min(predicted, tiled) <= max(predicted, tiled) <= 240
+
+
 def test_media_query(spark, odd_documents, odd_rows, no_documents):
     import hashlib
 
@@ -182,5 +261,13 @@ def test_media_query(spark, odd_documents, odd_rows, no_documents):
     for r, text in pairs:
         data = text.encode()
         payload = data + bytes(-len(data) % 64 if data else 64)
+        media = tiff.bytes_to_tiff(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest()) and b"".join(p.pixels.tobytes() for p in tiff.read_tiff(media)) == payload
+        counts = Counter(payload)
+        mean = sum(v * n for v, n in counts.items()) / len(payload)
+        sd = (sum(n * (v - mean) ** 2 for v, n in counts.items()) / len(payload)) ** 0.5
+        entropy = -sum(n / len(payload) * np.log2(n / len(payload)) for n in counts.values())
+        found = [float(x.split("=")[1]) for x in r["feature"].split(";")]
+        assert found == pytest.approx([mean, sd, entropy], abs=1e-4)
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(data), len(payload), zlib.crc32(payload[-64:])) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
     assert tiff.media_digests(odd_documents).count() == len(odd_rows) and tiff.media_digests(no_documents).count() == 0
