@@ -7,6 +7,8 @@ import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,7 +40,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new, unused path below this application's folder of the shared folder."""
-    return f"{shared_dir(spark)}/tessella-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessella-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    if (paths := _clearing.get()) is not None:
+        paths.append(path)
+    return path
+
+
+#: The scratch paths made within the innermost :func:`clearing`.
+_clearing: ContextVar[list[str] | None] = ContextVar("clearing", default=None)
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the scratch tables made within, but for those that :func:`saved` was told to keep."""
+    paths: list[str] = []
+    token = _clearing.set(paths)
+    try:
+        yield
+    finally:
+        _clearing.reset(token)
+        for path in paths:
+            drop_path(spark, path)
 
 
 def sweep(spark: SparkSession) -> None:
@@ -46,10 +68,12 @@ def sweep(spark: SparkSession) -> None:
     drop_path(spark, f"{shared_dir(spark)}/tessella-{spark.sparkContext.applicationId}")
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+def saved(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, tag)
+    if keep and (paths := _clearing.get()) is not None:
+        paths.remove(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

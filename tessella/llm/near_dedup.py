@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import flagged, saved, text_or_empty, tidy
+from tessella.llm.common import clearing, flagged, saved, text_or_empty, tidy
 from tessella.llm.components import connected_components
 from tessella.shipping import ship
 
@@ -245,9 +245,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     less than five words equal only themselves. Repeated rows of one id share a class and exactly one row of a class is
     kept; null ids count as largest. Columns other than id and text are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ship(docs.sparkSession)
+    with clearing(docs.sparkSession):
+        return _near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col)
+
+
+def _near_duplicates(base: DataFrame, id_col: str) -> DataFrame:
     rows = saved(_sketched(base).withColumn("row", F.monotonically_increasing_id()), "near-rows")
     nodes = saved(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min_by("id", "row").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")), "near-nodes")
     band = nodes.select("node", "size", F.explode("keys").alias("key"))
@@ -417,6 +420,6 @@ def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str) -
     roots = connected_components(links)
     ends = links.select("u").unionAll(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.select("digest", "node").join(roots, "node", "left").join(ends.withColumnRenamed("u", "node"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = saved(rows.select("id", "row", "digest").join(known, "digest").select("id", "row", "root", "n_links", "digest"), "near-placed")
-    first = saved(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size")), "near-first")
+    placed = saved(rows.select("id", "row", "digest").join(known, "digest").select("id", "row", "root", "n_links", "digest"), "near-placed", keep=True)
+    first = saved(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size")), "near-first", keep=True)
     return placed.join(first, "root").select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "n_links", "class_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("digest")).alias("words_md5"))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm import entries, exact_dedup, line_dedup, near_dedup
-from tessella.llm.common import drawn, filter_bits, in_filter, keep_rows, key_filter, saved
+from tessella.llm.common import drawn, filter_bits, in_filter, keep_rows, key_filter, saved, shared_dir
 from tessella.llm.components import connected_components
 from tests.conftest import DATA, assert_same
 
@@ -86,6 +86,15 @@ def test_filters_are_sized_by_their_keys():
     assert sizes == [1 << 20, 1 << 20, 1 << 20, 1 << 24, 1 << 30, None]
 
 
+def test_scratch_tables_are_cleared(spark, odd_documents):
+    from pathlib import Path
+
+    base = Path(shared_dir(spark).removeprefix("file://")) / f"tessella-{spark.sparkContext.applicationId}"
+    before = set(base.iterdir()) if base.exists() else set()
+    out = near_dedup.near_duplicates(odd_documents)
+    assert {p.name.rsplit("-", 1)[0] for p in set(base.iterdir()) - before} == {"near-placed", "near-first"} and out.count() > 0
+
+
 def test_draws_are_exact_at_any_share(spark):
     df = spark.range(300_000).select("id", (F.col("id") % 3).alias("g"))
     one = sorted(r["id"] for r in drawn(df, 2, "id").collect())
@@ -313,7 +322,7 @@ def test_near_dedup_against_word_lists(spark, monkeypatch, hot):
     found = {r["doc_id"]: r["class_id"] for r in out}
     lost = [(a, b) for a, b in links if found[a] != found[b]]
     print(f"{len(lost)} of {len(links)} links lost")
-    assert len(links) > 500 and len(lost) <= 0.1 * len(links)
+    assert len(links) > 200 and len(lost) <= 0.1 * len(links)
     assert all(find(a) == find(b) for a in found for b in [found[a]])  # nothing is joined without a link
 
 
