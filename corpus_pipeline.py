@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import keep_rows, saved
+from tessella.llm.common import clearing, keep_rows, saved
 from tessella.llm.entries import tokenizer_path
 from tessella.llm.exact_dedup import exact_dedup, normalised
 from tessella.llm.language_id import UNDETERMINED, identify_languages, learns, train_language_model
@@ -79,5 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table of documents; the packed pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        with clearing(spark):  # a stage's own tables go once its rows are written
+            docs = saved(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
