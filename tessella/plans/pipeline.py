@@ -96,6 +96,35 @@ class Pipeline:
         return found.select("label", "n_kept", "n_skipped")
 
 
+class Batches:
+    """One iteration over a loader's epoch; it frees the loader at its end, by :meth:`close`, or when it is dropped."""
+
+    def __init__(self, loader: SampleLoader):
+        self._loader, self._found = loader, None
+
+    def __iter__(self) -> Batches:
+        return self
+
+    def __next__(self) -> list:
+        if self._loader is None:
+            raise StopIteration
+        try:
+            if self._found is None:
+                rows = self._loader.pipeline().dataframe().orderBy("batch_id", "slot").toLocalIterator(prefetchPartitions=True)
+                self._found = groupby(rows, key=lambda r: r["batch_id"])
+            return list(next(self._found)[1])
+        except BaseException:
+            self.close()
+            raise
+
+    def close(self) -> None:
+        if self._loader is not None:
+            self._loader._iterating, self._loader = False, None
+
+    def __del__(self) -> None:
+        self.close()
+
+
 @dataclass
 class SampleLoader:
     """Plans epochs over ``samples``: columns ds_idx, key, meta and any payload, e.g. from a tar or Parquet source.
@@ -241,15 +270,7 @@ class SampleLoader:
         if self._iterating:
             raise RuntimeError("the loader is being iterated already")
         self._iterating = True
-        return self._iterate()
-
-    def _iterate(self) -> Iterator[list]:
-        try:
-            rows = self.pipeline().dataframe().orderBy("batch_id", "slot").toLocalIterator(prefetchPartitions=True)
-            for _, batch in groupby(rows, key=lambda r: r["batch_id"]):
-                yield list(batch)
-        finally:
-            self._iterating = False
+        return Batches(self)
 
     def state(self) -> LoaderState:
         return LoaderState(-1 if self.step is None else self.step, self.epoch, list(self.weights.names), list(self.weights.weights), *self.resolution)

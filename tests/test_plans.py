@@ -170,6 +170,11 @@ def test_one_iteration_at_a_time_and_empty_epochs(spark, monkeypatch):
         iter(loader)
     assert [len(b) for b in batches] == [4] * 10
     assert len(next(iter(loader))) == 4
+    started = iter(loader)
+    with pytest.raises(RuntimeError):
+        iter(loader)
+    started.close()  # without a batch taken
+    assert len(next(iter(loader))) == 4
     none = lambda **c: SampleLoader(spark, samples(spark), [DatasetSpec("a"), DatasetSpec("b")], 4, LoaderConfig(**c), predicate=F.lit(False))
     with pytest.raises(RuntimeError, match="no batch"):
         none().pipeline()
