@@ -58,6 +58,63 @@ def test_mixture_fit_is_a_maximum():
     assert (chosen == 1).sum() >= 6
 
 
+def plain_mixture(joint, penalty=4.0, rounds=12):
+    """One document's proportions and set of languages, by plain loops over its segments."""
+    n_langs = len(joint[0])
+
+    def fit(chosen):
+        w = [c / sum(chosen) for c in chosen]
+        for _ in range(rounds):
+            total = [0.0] * n_langs
+            for row in joint:
+                p = [w[k] * np.exp(max(row[k] - max(row), -60)) for k in range(n_langs)]
+                total = [t + x / sum(p) for t, x in zip(total, p)]
+            w = [t / len(joint) for t in total]
+        return w, sum(np.log(sum(w[k] * np.exp(max(row[k] - max(row), -60)) for k in range(n_langs))) for row in joint)
+
+    chosen = [1] * n_langs
+    w, value = fit(chosen)
+    toll = penalty + 0.5 * np.log(len(joint))
+    trial = [int(x >= 0.02 or k == int(np.argmax(w))) for k, x in enumerate(w)]
+    new, fitted = fit(trial)
+    if value - fitted < toll:
+        chosen, w, value = trial, new, fitted
+    while sum(chosen) > 1:
+        trial = chosen.copy()
+        trial[min((x, k) for k, x in enumerate(w) if chosen[k])[1]] = 0
+        new, fitted = fit(trial)
+        if value - fitted >= toll:
+            break
+        chosen, w, value = trial, new, fitted
+    return w, chosen
+
+
+def test_mixtures_equal_plain_loops():
+    rng = np.random.default_rng(6)
+    segments = []
+    for n in (1, 2, 7, 30, 60):
+        for _ in range(4):
+            like = rng.normal(0, 2, (n, 4))
+            like[np.arange(n), rng.integers(0, 2, n)] += 5
+            segments.append(like)
+    weights, chosen = language_id.mixtures(segments, 4)
+    for s, w, c in zip(segments, weights, chosen):
+        want, kept = plain_mixture(s.tolist())
+        assert c.tolist() == kept and np.allclose(w, want, atol=1e-6)
+
+
+def test_rule_weights_are_the_lassos_optimum():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, len(quality_rules.STATISTICS)))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(2 * (x[:, 0] > 0.3) + 1.5 * (x[:, 3] < -0.5) - 1)))).astype(float)
+    model = quality_rules.fit_rules(x, y, trees=6, penalty=0.004, steps=3000)
+    h = quality_rules._holds([r for r, _ in model.rules], x)
+    w = np.array([v for _, v in model.rules])
+    wrong = 1 / (1 + np.exp(-(model.intercept + h @ w))) - y
+    assert 1 <= len(w) < 60 and abs(wrong.mean()) < 1e-3
+    assert np.abs((h - h.mean(axis=0)).T @ wrong / len(y) + 0.004 * np.sign(w)).max() < 2e-4  # stationary where a weight is not 0
+
+
 def test_quality_held_out(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = entries.op6_quality_rules(spark, SF).collect()
