@@ -256,7 +256,7 @@ def _near_duplicates(base: DataFrame, id_col: str) -> DataFrame:
     band = nodes.select("node", "size", F.explode("keys").alias("key"))
     # Aggregates are written before rows are joined to them: Spark splits a skewed join's hot key only where both sides
     # are plain shuffles, not where one is the aggregate of the other.
-    groups = saved(band.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("lead.node").alias("v"), F.col("lead.size").alias("v_size")), "near-groups")
+    groups = saved(band.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("lead.node").alias("v"), F.col("lead.size").alias("v_size"), "n"), "near-groups")
     grouped = saved(band.join(groups, "key"), "near-grouped")
     words = saved(_node_words(base, nodes, grouped.select("node").distinct()), "near-words")
 
@@ -273,9 +273,8 @@ def _near_duplicates(base: DataFrame, id_col: str) -> DataFrame:
     # What is mixed even now is settled exactly: every pair of a group is verified or shares too few shingles.
     rooted = saved(grouped.select("key", "node").join(connected_components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
     mixed = saved(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "near-unsettled")
-    sets = _sets(words, rooted.join(mixed, "key").select("node", "root").distinct())
-    few, close = _sharing(sets)
-    measured = saved(_differences(_centred(saved(close, "near-close"), sets), words), "near-differences")
+    few, close = _sharing(_sets(words, rooted.join(mixed, "key").select("node", "root").distinct()))
+    measured = saved(_differences(_centred(saved(close, "near-close"), grouped), words), "near-differences")
     near = measured.where(F.col("status") == LINKED).select("u", "v")
     rest = saved(few.unionByName(_unlinked_pairs(measured)).distinct(), "near-rest")
     links = saved(links.unionByName(near).unionByName(_verified(rest, words)).distinct(), "near-links")
@@ -342,15 +341,15 @@ def _sharing(sets: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     return few, close
 
 
-def _centred(close: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, root, v_root, size): of the texts around one v, each other one beside the one most like what most of them hold."""
-    held = saved(close.select("v", "u").join(sets.select(F.col("node").alias("u"), F.explode("tokens").alias("token")), "u"), "near-held")
-    members = close.groupBy("v").agg(F.count(F.lit(1)).alias("members"))
-    common = held.groupBy("v", "token").agg(F.count(F.lit(1)).alias("n")).join(members, "v").where(F.col("n") * 2 > F.col("members")).select("v", "token", F.lit(2).alias("common"))
-    scored = held.join(saved(common, "near-common"), ["v", "token"], "left").groupBy("v", "u").agg(F.sum(F.coalesce("common", F.lit(0)) - 1).alias("score"))
-    best = scored.groupBy("v").agg(F.max_by("u", F.struct("score", -F.col("u"))).alias("q"))
-    centres = best.join(close.select("v", F.col("u").alias("q"), F.col("root").alias("v_root")), ["v", "q"])
-    return saved(close.join(saved(centres, "near-centres"), "v").where("u <> q").select("u", F.col("q").alias("v"), "root", "v_root", "size").distinct(), "near-centred")
+def _centred(close: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(u, v, root, v_root, size): of the texts around one v, each other one beside the most central of them.
+
+    That is the text whose band keys most texts share: a sketch is mostly common where its text is.
+    """
+    shared = grouped.groupBy(F.col("node").alias("u")).agg(F.sum("n").alias("score"))
+    central = F.max_by(F.struct("u", "root"), F.struct("score", -F.col("u")))
+    centres = saved(close.join(shared, "u").groupBy("v").agg(central.alias("q")), "near-centres")
+    return saved(close.join(centres, "v").where("u <> q.u").select("u", F.col("q.u").alias("v"), "root", F.col("q.root").alias("v_root"), "size").distinct(), "near-centred")
 
 
 def _differences(close: DataFrame, words: DataFrame) -> DataFrame:
