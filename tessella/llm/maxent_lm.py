@@ -4,7 +4,8 @@ P(word | history) = P(class | history) P(word | class, history). Both factors ar
 features. The class is predicted from the three classes before it. The word in its class is predicted from the words
 before it: its weight is its count times exp of the sum of two hashed weights, one for (word before, class, word) and one
 for (word before that, class, word), where a word's side of the pair is hashed to one of GROUPS. Its normaliser is a sum
-over groups, whatever the size of the vocabulary. Words unseen in training get the Good-Turing mass as one type.
+over groups, whatever the size of the vocabulary. Words unseen in training get the Good-Turing mass as one type. Classes are
+topics and count bands of words, and frequent words, all from counts over all training texts.
 
 Texts are cut into blocks; a block's distinct words meet their corpus counts bucket by bucket (of word hashes), so that
 no task and no driver ever holds the corpus's vocabulary. Training works on counts of class 4-grams, a sufficient
@@ -13,8 +14,8 @@ statistic over all training tokens: each update sums the partitions' gradients.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
 
@@ -23,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import clearing, crc_of_id, drawn, drop_path, saved, scratch, tidy
+from tessella.llm.common import clearing, crc_of_id, drop_path, saved, scratch, tidy
 from tessella.llm.near_dedup import hash_words
 from tessella.shipping import ship
 
 TOPICS, BANDS, CLASSES = 6, 4, 64
 END_CLASS = CLASSES - 1
 FREQUENT = CLASSES - 1 - TOPICS * BANDS
-SEED_WORDS = 192
+#: Seed words of topics (below 256: a byte tells them apart); length of topics' vectors; texts whose vectors are held at once.
+SEED_WORDS, SCALE, STRETCH = 192, 4096, 4096
 END = b"\n"  # no word holds a line feed
 HASHED = 1 << 14
 #: Features of a history (a, b, c): last class, the one before, the third; the last two; the last and the third; none.
@@ -49,130 +51,201 @@ def words_of(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-@dataclass
-class Seeds:
-    """Topics of documents, induced on a bounded sample: words, and a unit vector over them per topic."""
-
-    words: list[bytes]
-    centres: np.ndarray
-
-    @classmethod
-    def drawn_from(cls, docs: DataFrame, k: int) -> Seeds:
-        """Topics of ``k`` documents: only their word counts over SEED_WORDS words go to the driver."""
-        sample = saved(drawn(docs, k, "id", "text", tag="topic sample").select("text"), "lm-sample")
-
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = Counter(w for t in b.column(0) for w in set(words_of(t.as_buffer().to_pybytes())))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["w", "n"])
-
-        counts = sample.mapInArrow(tidy(spread), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-        words = [bytes(r["w"]) for r in counts.orderBy(F.desc("n"), "w").limit(SEED_WORDS).collect()]
-
-        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = [Counter(words_of(t.as_buffer().to_pybytes())) for t in b.column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array([[c[w] for w in words] for c in found], pa.list_(pa.int64()))], ["n"])
-
-        rows = sorted(r["n"] for r in sample.mapInArrow(tidy(vectors), "n array<long>").collect())
-        return cls.induce(words, np.sqrt(np.array(rows, float).reshape(len(rows), len(words))))
-
-    @classmethod
-    def induce(cls, words: list[bytes], x: np.ndarray) -> Seeds:
-        """Topics of documents with the vectors ``x``: the furthest of them first, then spherical k-means."""
-        x = x[np.linalg.norm(x, axis=1) > 0]
-        if not len(x):
-            return cls(words, np.zeros((TOPICS, len(words))))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        centres = [x[0]]
-        while len(centres) < TOPICS:  # furthest first
-            centres.append(x[np.max(np.stack(centres) @ x.T, axis=0).argmin()])
-        c = np.stack(centres)
-        for _ in range(12):
-            nearest = (x @ c.T).argmax(axis=1)
-            for k in range(TOPICS):
-                if (nearest == k).any():
-                    mean = x[nearest == k].mean(axis=0)
-                    c[k] = mean / np.linalg.norm(mean)
-        return cls(words, c)
-
-    def topics(self, ids: np.ndarray, starts: np.ndarray, seed_of: np.ndarray) -> np.ndarray:
-        """Topic of each document of a block; ``seed_of`` maps local word ids to seed words or -1."""
-        seed = seed_of[ids]
-        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-        hit = seed >= 0
-        n = np.bincount(owner[hit] * len(self.words) + seed[hit], minlength=len(starts) * len(self.words)) if self.words else np.zeros(0)
-        return (np.sqrt(n.reshape(len(starts), -1)) @ self.centres.T).argmax(axis=1) if self.words else np.zeros(len(starts), int)
-
-    def frequent_hashes(self) -> np.ndarray:
-        return hash_words(np.frombuffer(b" ".join(self.words[:FREQUENT]), np.uint8)) if self.words else np.empty(0, np.uint64)
-
-
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 
-BLOCK_SCHEMA = "kind int, block long, id {id}, held_out boolean, bucket int, first long, a binary, b binary, c binary"
-BLOCK_NAMES = ["kind", "block", "id", "held_out", "bucket", "first", "a", "b", "c"]
+TOKENS_SCHEMA = "block long, ids array<{id}>, held array<boolean>, lengths binary, tokens binary, hashes binary, holding binary"
 
 
-def _blocks(docs: DataFrame, seeds: Seeds, buckets: int) -> DataFrame:
-    """Kind 0: a document's tokens as ids local to its block (a). Kind 1: a block's words of one bucket: first local id,
-    hashes (a), counts in training documents (b), topics (c). Local ids are numbered bucket by bucket."""
+def _tokenised(docs: DataFrame) -> DataFrame:
+    """Blocks of texts: ids and which are held out, numbers of tokens, tokens as ids local to the block (END: 0), and by
+    local id the words' hashes and in how many training texts they are."""
     id_sql = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 24
-        types = None
-        rows, arrays, size = [], [], 0
+        id_type = None
+        keys, held_out, arrays, size = [], [], [], 0
         local: dict[bytes, int] = defaultdict(count().__next__)
         local[END]
 
         def settle() -> pa.RecordBatch:
-            words = list(local)
-            hashes = hash_words(np.frombuffer(b" ".join(words[1:]), np.uint8)) if len(words) > 1 else np.empty(0, np.uint64)
-            hashes = np.concatenate([[END_HASH], hashes])
-            starts = np.cumsum([0, *map(len, arrays)])[:-1]
-            ids = np.concatenate(arrays)
-            bucket = (hashes >> np.uint64(33)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            renamed = np.empty(len(words), np.uint32)
-            renamed[order] = np.arange(len(words), dtype=np.uint32)
-            ids = renamed[ids]
-            hashes, bucket = hashes[order], bucket[order]
-            seed_of = np.full(len(words), -1)
-            for k, w in enumerate(seeds.words):
-                if w in local:
-                    seed_of[renamed[local[w]]] = k
-            topic = seeds.topics(ids, starts, seed_of)
-            lengths = np.diff(np.append(starts, len(ids)))
-            train = np.repeat([not h for _, h in rows], lengths)
-            votes = np.bincount(ids[train].astype(np.int64) * TOPICS + np.repeat(topic, lengths)[train], minlength=len(words) * TOPICS).reshape(-1, TOPICS)
-            counts = votes.sum(axis=1).astype(np.uint32)
-            liked = votes.argmax(axis=1).astype(np.uint8)
-            out = [(0, block, key, held, None, None, ids[s : s + n].tobytes(), None, None) for (key, held), s, n in zip(rows, starts, lengths)]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            out += [(1, block, None, None, int(bucket[i]), int(i), hashes[i:j].tobytes(), counts[i:j].tobytes(), liked[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], BLOCK_NAMES)
+            words = list(local)[1:]
+            hashes = np.concatenate([[END_HASH], hash_words(np.frombuffer(b" ".join(words), np.uint8)) if words else np.empty(0, np.uint64)])
+            lengths = np.array([len(a) for a in arrays])
+            tokens = np.concatenate(arrays)
+            pairs = (np.repeat(np.arange(len(arrays)) * len(hashes), lengths) + tokens)[~np.repeat(held_out, lengths)]
+            pairs.sort()
+            holding = np.bincount(pairs[np.flatnonzero(np.diff(pairs, prepend=-1))] % len(hashes), minlength=len(hashes))
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (lengths, tokens, hashes, holding)]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([keys], pa.list_(id_type)), pa.array([held_out], pa.list_(pa.bool_())), *blobs], ["block", "ids", "held", "lengths", "tokens", "hashes", "holding"])
 
         for b in batches:
-            types = [pa.int32(), pa.int64(), b.schema.field(0).type, pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            id_type = b.schema.field(0).type
             for key, held, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 data = t.as_buffer().to_pybytes()
-                ids = np.fromiter(map(local.__getitem__, words_of(data)), np.uint32)
-                rows.append((key, held))
-                arrays.append(np.append(ids, np.uint32(0)))
+                keys.append(key)
+                held_out.append(held)
+                arrays.append(np.append(np.fromiter(map(local.__getitem__, words_of(data)), np.uint32), np.uint32(0)))
                 size += len(data) + 64
                 if size >= BLOCK_BYTES:
                     yield settle()
-                    rows, arrays, size, block = [], [], 0, block + 1
+                    keys, held_out, arrays, size, block = [], [], [], 0, block + 1
                     local.clear()
                     local = defaultdict(count().__next__)
                     local[END]
-        if rows:
+        if keys:
             yield settle()
 
-    return docs.mapInArrow(tidy(run), BLOCK_SCHEMA.format(id=id_sql))
+    return docs.mapInArrow(tidy(run), TOKENS_SCHEMA.format(id=id_sql))
+
+
+def _arrays(row: tuple[pa.Scalar, ...], *types: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), t) for x, t in zip(row, types)]
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Vectors at the length SCALE in whole numbers: their products and sums are exact, whatever the order of rows."""
+    return np.rint(SCALE * x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
+
+
+@dataclass
+class Seeds:
+    """Topics of documents: hashes of the words that most training texts hold, and a vector over them per topic."""
+
+    hashes: np.ndarray
+    centres: np.ndarray
+
+    @classmethod
+    def of(cls, tokens: DataFrame, updates: int = 12) -> Seeds:
+        """Topics of all training texts: spherical k-means, whose sums over all texts are the driver's only rows.
+
+        It starts from the seed words whose company (the sum of the vectors of the texts that hold them) differs most, and
+        ends after ``updates`` or when nothing changes.
+        """
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in zip(*b.columns):
+                    hashes, n = _arrays(row, np.int64, np.int64)
+                    some = np.flatnonzero(n[1:]) + 1  # END is no word
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[some]), pa.array(n[some])], ["w", "n"])
+
+        counts = tokens.select("hashes", "holding").mapInArrow(tidy(spread), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+        found = cls(np.array([r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(SEED_WORDS).collect()], np.int64).view(np.uint64), np.zeros((TOPICS, 0)))
+        k = len(found.hashes)
+        found.centres = np.zeros((TOPICS, k))
+        if not k:
+            return found
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for held, *row in zip(*b.columns):
+                    lengths, ids, hashes = _arrays(row, np.int64, np.uint32, np.uint64)
+                    train = ~np.array(held.as_py())
+                    for first, n in found.counts(ids, lengths, found.places(hashes)):
+                        n = n[train[first : first + len(n)] & n.any(axis=1)]
+                        row_, place = np.nonzero(n)
+                        blobs = np.bincount(row_, minlength=len(n)).astype(np.uint8), place.astype(np.uint8), n[row_, place].astype(np.uint32)
+                        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], ["sizes", "places", "counts"])
+
+        schema = "sizes binary, places binary, counts binary"
+        saved_vectors = saved(tokens.select("held", "lengths", "tokens", "hashes").mapInArrow(tidy(vectors), schema), "lm-vectors")
+
+        def added(of: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+            """The sum of ``of`` over all texts' vectors."""
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(shape, np.int64)
+                for b in batches:
+                    for sizes, places, n in zip(*(c.to_pylist() for c in b.columns)):
+                        sizes = np.frombuffer(sizes, np.uint8)
+                        x = np.zeros((len(sizes), k))
+                        x[np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(places, np.uint8)] = np.sqrt(np.frombuffer(n, np.uint32))
+                        total += of(rounded(x)).astype(np.int64)
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.ravel()[at], pa.int64())], ["i", "n"])
+
+            out = np.zeros(shape)
+            sums = saved_vectors.mapInArrow(tidy(run), "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
+            for r in sums.collect():
+                out.ravel()[r["i"]] = r["n"]
+            return out
+
+        company = rounded(added(lambda x: x.T @ x, (k, k)))
+        first = [0]
+        while len(first) < TOPICS:  # furthest first
+            first.append(int((company[first] @ company.T).max(axis=0).argmin()))
+        found.centres = company[first]
+        for _ in range(updates):
+            centres = found.centres
+            total = added(lambda x, c=centres: ((x @ c.T).argmax(axis=1) == np.arange(TOPICS)[:, None]).astype(float) @ x, (TOPICS, k))
+            found.centres = np.where(total.any(axis=1, keepdims=True), rounded(total), centres)
+            if (found.centres == centres).all():
+                break
+        return found
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The seed word that each hash is, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        order = np.argsort(self.hashes)
+        found = order[np.minimum(np.searchsorted(self.hashes, hashes, sorter=order), len(order) - 1)]
+        return np.where(self.hashes[found] == hashes, found, -1)
+
+    def counts(self, ids: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Counts of the seed words in a block's texts, a bounded number of texts at a time, each with the first text's number."""
+        k = len(self.hashes)
+        ends = np.cumsum(lengths)
+        for i in range(0, len(lengths), STRETCH):
+            part = lengths[i : i + STRETCH]
+            seed = places[ids[ends[i] - lengths[i] : ends[i + len(part) - 1]]]
+            owner = np.repeat(np.arange(len(part)), part)
+            hit = seed >= 0
+            yield i, np.bincount(owner[hit] * k + seed[hit], minlength=len(part) * k).reshape(len(part), k)
+
+    def topics(self, ids: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Topic of each text of a block."""
+        return np.concatenate([(rounded(np.sqrt(n)) @ self.centres.T).argmax(axis=1) for _, n in self.counts(ids, lengths, places)])
+
+    def frequent_hashes(self) -> np.ndarray:
+        return self.hashes[:FREQUENT]
+
+
+BLOCK_SCHEMA = "kind int, block long, id {id}, held_out boolean, bucket int, first long, a binary, b binary, c binary"
+BLOCK_NAMES = ["kind", "block", "id", "held_out", "bucket", "first", "a", "b", "c"]
+
+
+def _blocks(tokens: DataFrame, seeds: Seeds, buckets: int) -> DataFrame:
+    """Kind 0: a document's tokens as ids local to its block (a). Kind 1: a block's words of one bucket: first local id,
+    hashes (a), counts in training documents (b), topics (c). Local ids are numbered bucket by bucket."""
+    id_sql = tokens.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            types = [pa.int32(), pa.int64(), b.schema.field(1).type.value_type, pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            for block, keys, held_out, *row in zip(*b.columns):
+                block, keys, held_out = block.as_py(), keys.as_py(), held_out.as_py()
+                lengths, ids, hashes = _arrays(row, np.int64, np.uint32, np.uint64)
+                topic = seeds.topics(ids, lengths, seeds.places(hashes))
+                bucket = (hashes >> np.uint64(33)).astype(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                renamed = np.empty(len(hashes), np.uint32)
+                renamed[order] = np.arange(len(hashes), dtype=np.uint32)
+                ids = renamed[ids]
+                hashes, bucket = hashes[order], bucket[order]
+                starts = np.cumsum(lengths) - lengths
+                train = ~np.repeat(held_out, lengths)
+                votes = np.bincount(ids[train].astype(np.int64) * TOPICS + np.repeat(topic, lengths)[train], minlength=len(hashes) * TOPICS).reshape(-1, TOPICS)
+                counts = votes.sum(axis=1).astype(np.uint32)
+                liked = votes.argmax(axis=1).astype(np.uint8)
+                out = [(0, block, key, held, None, None, ids[s : s + n].tobytes(), None, None) for key, held, s, n in zip(keys, held_out, starts, lengths)]
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+                out += [(1, block, None, None, int(bucket[i]), int(i), hashes[i:j].tobytes(), counts[i:j].tobytes(), liked[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], BLOCK_NAMES)
+
+    return tokens.select("block", "ids", "held", "lengths", "tokens", "hashes").mapInArrow(tidy(run), BLOCK_SCHEMA.format(id=id_sql))
 
 
 COUNTED_SCHEMA = "block long, first long, counts binary, classes binary, keys binary"
@@ -574,26 +647,31 @@ def train_words(measured: DataFrame, totals: Totals, tables: WordTables, updates
     return theta
 
 
-def score_language(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", updates: int = 8, seed_rows: int = 512, word_updates: int = 2) -> DataFrame:
+def score_language(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", updates: int = 8, word_updates: int = 2) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where ``held_out`` is false. Tokens: words between ASCII white space with A-Z lower-cased, then
     one end. ``base_score``: log10 of add-a-half unigrams; ``score``: of this model. Null counts as empty (one end).
-    With nothing to learn from both scores are those of a vocabulary of one type. ``seed_rows`` bounds the sample on
-    which topics are induced; counts and training cover all rows. Repeated rows and null ids pass through; columns other
-    than these are not read; an empty table gives an empty result.
+    With nothing to learn from both scores are those of a vocabulary of one type. Topics, counts and training cover all
+    these rows. Repeated rows and null ids pass through; columns other than these are not read; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     id_type = base.schema["id"].dataType.simpleString()
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tokens_at = scratch(spark, "lm-tokens")
+    tokenising = _tokenised(base)
+    tokenising.write.option("maxRecordsPerFile", 1).parquet(tokens_at)  # no writer or reader holds many blocks at once
+    tokens = spark.read.schema(tokenising.schema).parquet(tokens_at)
     with clearing(spark):
-        seeds = Seeds.drawn_from(base.where(~F.col("held_out")).select("id", "text"), seed_rows)
+        seeds = Seeds.of(tokens)
     buckets = int(min(65536, max(12, size >> 25)))
 
     at = scratch(spark, "lm-blocks")
-    _blocks(base, seeds, buckets).write.partitionBy("kind").parquet(at)
+    _blocks(tokens, seeds, buckets).write.partitionBy("kind").parquet(at)
+    drop_path(spark, tokens_at)
     blocks = spark.read.schema(BLOCK_SCHEMA.format(id=id_type)).parquet(at)
     counted_at = scratch(spark, "lm-counted")
     _counted(blocks.where("kind = 1").select("bucket", "block", "first", "a", "b", "c"), seeds).write.parquet(counted_at)

@@ -179,6 +179,48 @@ def test_language_model_on_odd_rows(spark, odd_documents, odd_rows, no_documents
     assert all(r["base_score"] == 0 and r["score"] == 0 and r["train_tokens"] == 0 for r in nothing)
 
 
+def test_language_model_topics_come_from_all_training_texts(spark, monkeypatch):
+    """Frequent words and topics against plain counts over every training text, and the same however the rows lie."""
+    kept, counted = [], maxent_lm._counted
+    monkeypatch.setattr(maxent_lm, "_counted", lambda words, seeds: (kept.append(seeds), counted(words, seeds))[1])
+    entries.op5_maxent_lm(spark, SF)
+    seeds = kept[0]
+    hash_of = lambda w: int(maxent_lm.hash_words(np.frombuffer(w, np.uint8))[0])
+    texts = [Counter((r["text"] or "").encode().lower().split()) for i, r in documents(spark).items() if not held(i, 1)]
+    assert len(texts) > 600
+    holding = Counter(w for t in texts for w in t)
+    named = {hash_of(w): w for w in holding}
+    top = sorted(holding.values(), reverse=True)
+    assert [holding[named[int(h)]] for h in seeds.frequent_hashes()] == top[: maxent_lm.FREQUENT]
+    words = [named[int(h)] for h in seeds.hashes]
+    assert len(set(words)) == len(words) and [holding[w] for w in words] == top[: maxent_lm.SEED_WORDS]
+
+    unit = lambda v: np.rint(maxent_lm.SCALE * v / np.sqrt((v * v).sum())) if v.any() else v
+    x = np.array([unit(np.sqrt([t[w] for w in words])) for t in texts if any(t[w] for w in words)])
+    company = [unit(sum(v * v[k] for v in x)) for k in range(len(words))]
+    first = [0]
+    while len(first) < maxent_lm.TOPICS:
+        first.append(int(np.argmin([max(company[k] @ c for k in first) for c in company])))
+    centres = [company[k] for k in first]
+    for _ in range(12):
+        own = [int(np.argmax([v @ c for c in centres])) for v in x]
+        centres = [unit(sum(v for v, o in zip(x, own) if o == k)) if k in own else c for k, c in enumerate(centres)]
+    assert np.array_equal(seeds.centres, centres)
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), maxent_lm.holds_out().alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    again = maxent_lm.Seeds.of(maxent_lm._tokenised(rows.repartition(7)))
+    assert np.array_equal(again.hashes, seeds.hashes) and np.array_equal(again.centres, seeds.centres)
+
+
+def test_language_model_gives_a_rare_language_a_topic(spark):
+    """One text of 3000 in words of its own, which no bounded draw of texts is sure to hold."""
+    texts = [" ".join(f"w{(i * 7 + j * j) % 40}" for j in range(12)) for i in range(2999)] + [" ".join(f"rare{j}" for j in range(12))]
+    seeds = maxent_lm.Seeds.of(maxent_lm._tokenised(spark.createDataFrame([(i, False, t.encode()) for i, t in enumerate(texts)], "id long, held_out boolean, text binary").repartition(3)))
+    hashes = maxent_lm.hash_words(np.frombuffer(" ".join([texts[-1], texts[0]]).encode(), np.uint8))
+    rare, common, _ = seeds.topics(np.arange(24), np.array([12, 12, 0]), seeds.places(hashes))
+    assert len(seeds.hashes) == 52 and rare != common
+
+
 def test_language_model_equals_plain_loops(spark, odd_documents, monkeypatch):
     """Every score again, token by token, from the weights, classes, keys and shares that the model ended up with."""
     kept = {}
