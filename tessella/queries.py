@@ -26,7 +26,7 @@ from tessella.plans.specs import ContextTargetsSpec, DatasetSpec, EvalSpec, Load
 from tessella.plans.weights import MixingWeights
 from tessella.shipping import ship
 from tessella.sources import catalog, checkpoint, tar
-from tessella.sources.images import decode_image, encode_png
+from tessella.sources.images import encode_png
 from tessella.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -679,8 +679,9 @@ TAR_SQL = f"""SELECT (vec_id // 100)::VARCHAR AS shard_path, vec_id::VARCHAR AS
               CASE WHEN vec_id % 3 = 0 THEN '{{"quality_score":' || label || '}}' END AS meta FROM embeddings"""
 
 
-def gray_sum(image: str):
-    return F.pandas_udf(lambda s: s.map(lambda data: int(decode_image(data)[:, :, 0].astype(int).sum())), "long")(image)
+def scanned(archives: DataFrame, **options) -> DataFrame:
+    """Samples with the sum of each decoded image's samples; images stay with the worker that decodes them."""
+    return tar.extract(archives, with_image=False, measure=lambda pixels: int(pixels[:, :, 0].sum(dtype=np.int64)), **options).withColumnRenamed("measure", "gray")
 
 
 def packed(spark, sf_dir) -> DataFrame:
@@ -692,14 +693,13 @@ def packed(spark, sf_dir) -> DataFrame:
 @query(f"SELECT *, row_number() OVER (PARTITION BY shard_path ORDER BY key) - 1 AS pos, NULL::VARCHAR AS error FROM ({TAR_SQL})")
 def tar_scan(spark, sf_dir):
     """Shards read again: keys in archive order, the sum of each decoded image's samples, sidecars."""
-    return tar.extract(packed(spark, sf_dir)).select("shard_path", "key", "pos", gray_sum("image").alias("gray"), "meta", "error")
+    return scanned(packed(spark, sf_dir)).select("shard_path", "key", "pos", "gray", "meta", "error")
 
 
 @query(f"SELECT *, row_number() OVER (PARTITION BY shard_path ORDER BY key) - 1 AS pos FROM ({TAR_SQL}) WHERE meta IS NOT NULL")
 def tar_scan_required(spark, sf_dir):
     """The archive-stream rule: samples without a sidecar, or whose image can't be decoded, are left out."""
-    found = tar.extract(packed(spark, sf_dir), require_json=True, decodable=True)
-    return found.select("shard_path", "key", "pos", gray_sum("image").alias("gray"), "meta")
+    return scanned(packed(spark, sf_dir), require_json=True, decodable=True).select("shard_path", "key", "pos", "gray", "meta")
 
 
 @query()

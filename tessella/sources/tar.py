@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from tessella.sources.images import decode_image
 
 IMAGE_TYPES = ("jpg", "jpeg", "png")
 SAMPLE_SCHEMA = "shard_path string, key string, pos long, image binary, meta string, error string"
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def samples_of(archive: bytes, types: tuple[str, ...] = IMAGE_TYPES, with_image: bool = True) -> Iterator[tuple]:
@@ -41,35 +42,53 @@ def samples_of(archive: bytes, types: tuple[str, ...] = IMAGE_TYPES, with_image:
         yield key, image, meta
 
 
-def extract(archives: DataFrame, path_col: str = "path", content_col: str = "content", types: tuple[str, ...] = IMAGE_TYPES, require_json: bool = False, with_image: bool = True, on_error: str = "skip", decodable: bool = False) -> DataFrame:
+def sample_batches(batches: Iterable[pa.RecordBatch], types: tuple[str, ...] = IMAGE_TYPES, require_json: bool = False, with_image: bool = True, on_error: str = "skip", decodable: bool = False, measure: Callable[[np.ndarray], int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Samples of (path, archive) rows, in batches of at most BATCH_ROWS samples and one sample over BATCH_BYTES."""
+    names = ["shard_path", "key", "pos", "image", "meta", "error"] + ["measure"] * (measure is not None)
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int64()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    for b in batches:
+        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+            rows, size, pos = [], 0, 0
+            try:
+                for key, image, meta in samples_of(content.as_py() or b"", types, with_image or decodable or measure is not None):
+                    if require_json and meta is None:
+                        continue
+                    pixels = decode_image(image) if decodable or measure else None
+                    if decodable and pixels is None:
+                        continue
+                    row = (path, key, pos, image if with_image else None, meta, None, None if pixels is None or measure is None else measure(pixels))
+                    rows.append(row[: len(names)])
+                    pos += 1
+                    size += len(image) * with_image + len(meta or "")
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield batch(rows)
+                        rows, size = [], 0
+            except (tarfile.TarError, EOFError) as e:
+                if on_error == "fail":
+                    raise
+                rows.append((path, None, pos, None, None, str(e), None)[: len(names)])
+            if rows:
+                yield batch(rows)
+
+
+def extract(archives: DataFrame, path_col: str = "path", content_col: str = "content", types: tuple[str, ...] = IMAGE_TYPES, require_json: bool = False, with_image: bool = True, on_error: str = "skip", decodable: bool = False, measure: Callable[[np.ndarray], int] | None = None) -> DataFrame:
     """One row per sample. A broken archive gives the samples before the break, then a row with ``error`` (or fails).
 
     ``require_json``: samples without a sidecar are left out; ``decodable``: so are those whose image can't be decoded.
+    ``measure``: a long of the decoded image, in a column of that name (null for what can't be decoded), by the same worker.
+    Spark hands a worker at most ``spark.sql.execution.arrow.maxBytesPerBatch`` of archives, or one, at a time.
     """
     ship(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard_path", "key", "pos", "image", "meta", "error"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()]
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                rows, pos = [], 0
-                try:
-                    for key, image, meta in samples_of(content.as_py() or b"", types, with_image):
-                        if (meta is not None or not require_json) and (not decodable or decode_image(image) is not None):
-                            rows.append((path, key, pos, image if with_image else None, meta, None))
-                            pos += 1
-                        if len(rows) >= 1000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                            rows = []
-                except (tarfile.TarError, EOFError) as e:
-                    if on_error == "fail":
-                        raise
-                    rows.append((path, None, pos, None, None, str(e)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    return archives.select(path_col, content_col).mapInArrow(run, SAMPLE_SCHEMA)
+        yield from sample_batches(batches, types, require_json, with_image, on_error, decodable, measure)
+        pa.default_memory_pool().release_unused()  # later tasks reuse this worker
+
+    return archives.select(path_col, content_col).mapInArrow(run, SAMPLE_SCHEMA + (", measure long" if measure else ""))
 
 
 def read_tar(spark: SparkSession, paths: list[str] | str, **options) -> DataFrame:

@@ -2,6 +2,7 @@ import io
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,6 +87,31 @@ def test_tar_pairs_sidecars(spark, tmp_path):
     assert tar.index_counts(spark, f"file://{tmp_path}/*.idx").first()["n"] == 3
 
 
+def test_tar_samples_come_in_small_batches():
+    blob = np.random.default_rng(0).bytes(1 << 20)
+    data = archive([(f"{k:03d}.{kind}", blob if kind == "jpg" else b"{}") for k in range(30) for kind in ("jpg", "json")])
+    given_rows = pa.RecordBatch.from_pydict({"path": ["p", "q"], "content": [data, data]})
+    for with_image in (True, False):
+        found = list(tar.sample_batches([given_rows], with_image=with_image))
+        assert max(b.nbytes for b in found) <= tar.BATCH_BYTES + (2 << 20)
+        rows = pa.Table.from_batches(found).select(["shard_path", "key", "pos", "meta"]).to_pylist()
+        assert rows == [{"shard_path": p, "key": f"{k:03d}", "pos": k, "meta": "{}"} for p in "pq" for k in range(30)]
+
+
+def test_tar_measures_images_where_they_are_decoded(spark):
+    good = archive([("a.png", encode_png(np.full((2, 3), 7, np.uint8))), ("a.json", b"{}"), ("b.png", b"no image"), ("b.json", b"{}"), ("c.png", encode_png(np.full((1, 1), 9, np.uint8)))])
+    df = spark.createDataFrame([("p", good), ("q", b"junk" * 300)], "path string, content binary")
+    assert {(r["shard_path"], r["key"], r["pos"], r["gray"], r["image"]) for r in core.scanned(df).collect()} == {("p", "a", 0, 42, None), ("p", "b", 1, None, None), ("p", "c", 2, 9, None), ("q", None, 0, None, None)}
+    assert [(r["key"], r["pos"], r["gray"]) for r in core.scanned(df.where("path = 'p'"), require_json=True, decodable=True).collect()] == [("a", 0, 42)]
+    assert [r["key"] for r in tar.extract(df.where("path = 'p'"), with_image=False, decodable=True).collect()] == ["a", "c"]
+
+
+@pytest.mark.parametrize("name", ["tar_scan", "tar_scan_required"])
+def test_tar_scans_take_two_workers_a_task(spark, name):
+    plan = core.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
 @pytest.mark.parametrize("name, views", [("augment_multicrop", 6), ("augment_context_targets", 5), ("augment_eval", 1), ("user_aug", 2)])
 def test_augmentations(spark, name, views):
     df = core.queries()[name](spark, f"{DATA}/sf0.001")
